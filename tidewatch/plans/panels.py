@@ -52,7 +52,7 @@ PANELS = {
     "system_overview": f"SELECT seq, time, value, {LABEL} END AS sensor FROM environment WHERE time >= :from AND time <= :to",
     "anomalies_by_sensor": f"SELECT {LABEL} ELSE topic END AS sensor, count(*) AS n FROM anomaly WHERE (global = 1 OR local = 1) AND time >= :from AND time <= :to GROUP BY 1",
     "anomaly_matrix": "SELECT seq, time, topic, global, local, missing FROM anomaly WHERE time >= :from AND time <= :to",
-    "global_trends": "SELECT seq, time, topic, {_rounded('mean')} AS mean FROM moving_statistics WHERE time >= :from AND time <= :to",
+    "global_trends": f"SELECT seq, time, topic, {_rounded('mean')} AS mean FROM moving_statistics WHERE time >= :from AND time <= :to",
     "pair_overlay": "SELECT coalesce(a.time, b.time) AS time, a.value AS clicks, b.value AS views FROM (SELECT date_trunc('hour', time) AS time, max(value) AS value FROM environment WHERE topic = 'click' GROUP BY 1) a FULL JOIN (SELECT date_trunc('hour', time) AS time, max(value) AS value FROM environment WHERE topic = 'view' GROUP BY 1) b ON a.time = b.time",
     "pair_relationship": "SELECT date_trunc('hour', time) AS hour, max(CASE WHEN topic = 'click' THEN value END) AS x, max(CASE WHEN topic = 'view' THEN value END) AS y FROM environment WHERE value <> -200 GROUP BY 1 HAVING max(CASE WHEN topic = 'click' THEN value END) IS NOT NULL AND max(CASE WHEN topic = 'view' THEN value END) IS NOT NULL",
     "sensor_readings": f"SELECT seq, time, CASE WHEN value = -200 THEN NULL ELSE value END AS value FROM environment WHERE {SELECTED}",

@@ -151,7 +151,12 @@ def join_windows(docs: DataFrame, items: DataFrame, text: str, window: int, per:
     drop = [f.name for f in OUTPUT if f.name in docs.columns and f.name != text]
     rows = keep(docs.drop(*drop).withColumn("_row", F.expr("uuid()")), "windows")
     own = rows.select("_row", ws(F.col(text)).alias("w"))
-    parts = [own.where(F.size("w") >= n).select("_row", F.lit(n).alias("k"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda p, n=n: F.md5(F.array_join(F.slice("w", p, n), " ")))).alias("at", "g")) for n in lengths]
+
+    def of_length(n: int) -> DataFrame:
+        grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda p: F.md5(F.array_join(F.slice("w", p, n), " ")))
+        return own.where(F.size("w") >= n).select("_row", F.lit(n).alias("k"), F.posexplode(grams).alias("at", "g"))
+
+    parts = [of_length(n) for n in lengths]
     hits = functools.reduce(DataFrame.union, parts).join(grams, ["k", "g"]) if parts else own.where("false").select("_row", F.lit(0).alias("k"), F.lit(0).alias("at"), F.lit("").alias("i"))
     found = hits.groupBy("_row").agg(F.array_sort(F.collect_set("i")).alias("item_ids"), F.collect_set(F.struct("at", "k")).alias("at"))
 

@@ -195,7 +195,7 @@ def _em(masks: np.ndarray, counts: np.ndarray, known: np.ndarray, start: np.ndar
             tables.append(t / t.sum(0))
         model = LabelModel(prior, cliques, tables, {})
         moved, chance = chance, model.posterior(masks)
-        if np.abs(moved - chance).max() < 1e-6:
+        if np.abs(moved - chance).max(initial=0.0) < 1e-6:
             break
     return model
 

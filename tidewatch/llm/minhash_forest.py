@@ -49,7 +49,7 @@ class WordHashes(dict):
     """Hash of each word, kept for up to a fixed number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -53,7 +53,7 @@ class WordTokenizer:
     encoded as they are. Words are cached as bytes of their ids, up to fixed numbers of entries.
     """
 
-    def __init__(self, path: str, most_words: int = 600_000, most_stems: int = 1_200_000):
+    def __init__(self, path: str, most_words: int = 300_000, most_stems: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -72,7 +72,7 @@ class Lexicon:
     def of(self, word: bytes) -> tuple[int, ...]:
         found = self.cache.get(word)
         if found is None:
-            if len(self.cache) > 300_000:
+            if len(self.cache) > 40_000:
                 self.cache.clear()
             found = self.cache[word] = tuple(self.number[t] for t in tokens_of(word) if t in self.number)
         return found

@@ -35,7 +35,7 @@ INSULTS = ("clown", "disgusting", "dumb", "garbage", "idiot", "imbecile", "jerk"
 BEGINNINGS = (4, 5, 6)
 PARTS = 4
 VOTERS = ("insult", "two insults", *(f"words {k}" for k in range(PARTS)), *(f"beginnings of {n}" for n in BEGINNINGS), "any entry", "three entries", "dense entries", "shouting", "exclamations", "long runs")
-_RUN = re.compile(rb"([^\s0-9])\1{3,}")
+_RUN = re.compile(rb"(.)\1\1\1(?<![\s0-9])")
 FOLDS = 5
 
 
@@ -61,7 +61,7 @@ class Lexicon:
 
     def __post_init__(self):
         self.number = {e: i for i, e in enumerate(self.entries)}
-        self.part = [zlib.crc32(e) % PARTS for e in self.entries]
+        self.fronts = {e.rstrip(b"*")[:4] for e in self.entries}
 
     def __getstate__(self):
         return {"entries": self.entries, "insults": self.insults}
@@ -85,30 +85,24 @@ class Lexicon:
         """Votes as bits, and features: entries that occur and voters that fire."""
         raw = (text or "").encode()
         words = raw.translate(_TABLE).split()
-        kinds, of, known = set(words), self.of, self.cache
-        hits: set[int] = set()
-        for w in kinds:
-            found = known.get(w)
-            if found is None:
-                found = of(w)
-            if found:
-                hits.update(found)
+        fronts = self.fronts  # an entry's first bytes are those of its words
+        marked = {w: found for w in set(words) if w[:4] in fronts and (found := self.of(w))}
+        hits: set[int] = set().union(*marked.values())
         insults = sum(h < self.insults for h in hits)
         learned = [self.entries[h] for h in hits if h >= self.insults]
-        marked = {w for w in kinds if known.get(w)} if hits else set()
-        upper = sum(map(raw.count, _CAPITALS)) if raw else 0
-        lower = sum(map(raw.count, _SMALL)) if upper else 1
+        upper = len(raw) - len(raw.translate(None, _CAPITALS))
+        lower = len(raw) - len(raw.translate(None, _SMALL)) if upper else 1
         votes = [insults >= 1, insults >= 2]
         votes += [any(not e.endswith(b"*") and zlib.crc32(e) % PARTS == k for e in learned) for k in range(PARTS)]
         votes += [any(e.endswith(b"*") and len(e.decode()) == n + 1 for e in learned) for n in BEGINNINGS]
-        votes += [len(marked) >= 1, len(marked) >= 3, len(marked) >= 1 and 100 * sum(map(words.count, marked)) >= len(words)]
+        votes += [len(marked) >= 1, len(marked) >= 3, len(marked) >= 1 and 100 * sum(map(marked.__contains__, words)) >= len(words)]
         votes += [upper > lower, raw.count(b"!!") >= 3, bool(_RUN.search(raw))]
         mask = sum(1 << i for i, v in enumerate(votes) if v)
         return mask, sorted(hits) + [len(self.entries) + i for i, v in enumerate(votes) if v]
 
 
-_CAPITALS = [bytes([c]) for c in b"AEINORST"]
-_SMALL = [bytes([c]) for c in b"aeinorst"]
+_CAPITALS = b"AEINORST"
+_SMALL = b"aeinorst"
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:

@@ -20,7 +20,6 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,25 +44,27 @@ MANIFEST = "first_id long, path string, n_docs long, n_tokens long, n_bytes long
 _PUNCTUATION = b".,!;:?"
 
 
-class WordTokenizer:
-    """Encodes whole texts with a tokenizers file, each distinct word once.
-
-    Holds for tokenizers that normalise character by character and drop white space before merging,
-    as then a text's ids are its words' ids in turn; texts with the special tokens' bracket are
-    encoded as they are. Words are cached as bytes of their ids, up to fixed numbers of entries.
-    """
-
-    def __init__(self, path: str, most_words: int = 300_000, most_stems: int = 1_200_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class WordIds(dict):
+    """Bytes of the ids of each word, kept for up to fixed numbers of words and of their stems."""
 
-        self.library = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
+    def __init__(self, library, most_words: int, most_stems: int):
+        self.library, self.most_words, self.most_stems = library, most_words, most_stems
         self.stems: dict[bytes, bytes] = {}
-        self.most_words, self.most_stems = most_words, most_stems
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most_words:
+            self.clear()
+        stem, mark = self._parts(word)
+        ids = self[word] = self._stem(stem) + self._stem(mark) if mark else self._stem(stem)
+        return ids
+
+    def _stem(self, stem: bytes) -> bytes:
+        ids = self.stems.get(stem)
+        if ids is None:
+            if len(self.stems) >= self.most_stems:
+                self.stems.clear()
+            ids = self.stems[stem] = encoded(self.library, stem.decode())
+        return ids
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
@@ -77,27 +78,30 @@ class WordTokenizer:
             return s.lower().encode(), mark
         return word, b""
 
+
+def encoded(library, text: str) -> bytes:
+    return np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+class WordTokenizer:
+    """Encodes whole texts with a tokenizers file, each distinct word once.
+
+    Holds for tokenizers that normalise character by character and drop white space before merging,
+    as then a text's ids are its words' ids in turn; texts with the special tokens' bracket are
+    encoded as they are. Texts go one by one, so that a text's words stay in the CPU's caches.
+    """
+
+    def __init__(self, path: str, most_words: int = 300_000, most_stems: int = 1_100_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.words = WordIds(self.library, most_words, most_stems)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text the bytes of its ids."""
-        if len(self.words) > self.most_words:
-            self.words.clear()
-        if len(self.stems) > self.most_stems:
-            self.stems.clear()
-        split = [None if "<|" in t else t.encode().split() for t in texts]
-        known, stems = self.words, self.stems
-        new: set[bytes] = set()
-        for w in split:
-            if w:
-                new.update(w)
-        parts = {w: self._parts(w) for w in new if w not in known}
-        wanted = {s for p in parts.values() for s in p if s and s not in stems}
-        ordered = iter(sorted(wanted))
-        while chunk := list(islice(ordered, 20_000)):
-            stems.update(zip(chunk, self._library([s.decode() for s in chunk]), strict=True))
-        stems[b""] = b""
-        for w, (stem, mark) in parts.items():
-            known[w] = stems[stem] + stems[mark]
-        return [self._library([t])[0] if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
+        ids = self.words.__getitem__
+        return [encoded(self.library, t) if "<|" in t else b"".join(map(ids, t.encode().split())) for t in texts]
 
 
 @lru_cache(maxsize=2)

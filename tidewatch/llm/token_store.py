@@ -49,6 +49,7 @@ class WordIds(dict):
 
     def __init__(self, library, most_words: int, most_stems: int):
         self.library, self.most_words, self.most_stems = library, most_words, most_stems
+        self.model, self.letters = library.model, plain_letters(library)
         self.stems: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
@@ -63,9 +64,16 @@ class WordIds(dict):
         if ids is None:
             if len(self.stems) >= self.most_stems:
                 self.stems.clear()
-            ids = self.stems[stem] = encoded(self.library, stem.decode())
+            ids = self.stems[stem] = self._encoded(stem.decode())
         return ids
 
+    def _encoded(self, stem: str) -> bytes:
+        """Ids of a stem; those of plain letters go straight to the model."""
+        if not all(map(self.letters.__contains__, map(ord, stem))):
+            return encoded(self.library, stem)
+        tokens = self.model.tokenize(stem.translate(self.letters))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
         """Lower-cased stem and final mark, where the tokenizer parts and folds them in the same way."""
@@ -83,15 +91,24 @@ def encoded(library, text: str) -> bytes:
     return np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def plain_letters(library) -> dict[int, str]:
+    """Letters below U+0180 that the normaliser leaves as they are, by code point, in the form that the
+    pre-tokenizer gives them. Holds no others, so a tokenizer without such letters gets an empty table."""
+    normal, parts = library.normalizer, library.pre_tokenizer
+    letters = [c for c in map(chr, range(0x180)) if c.isalpha() and normal.normalize_str(c) == c]
+    forms = {c: parts.pre_tokenize_str(c) for c in letters}
+    return {ord(c): f[0][0] for c, f in forms.items() if len(f) == 1}
+
+
 class WordTokenizer:
     """Encodes whole texts with a tokenizers file, each distinct word once.
 
     Holds for tokenizers that normalise character by character and drop white space before merging,
-    as then a text's ids are its words' ids in turn; texts with the special tokens' bracket are
+    as then a text's ids are its words' ids in turn, and that keep runs of letters together; texts with the special tokens' bracket are
     encoded as they are. Texts go one by one, so that a text's words stay in the CPU's caches.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000, most_stems: int = 1_100_000):
+    def __init__(self, path: str, most_words: int = 300_000, most_stems: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

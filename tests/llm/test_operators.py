@@ -164,6 +164,15 @@ def test_token_files(spark):
     assert empty.count() == 0 and token_store.read_documents(empty).count() == 0
 
 
+def test_words_have_the_library_s_ids():
+    words = token_store.WordTokenizer(tokenizer_path(), most_words=5, most_stems=3)
+    alphabet = [chr(c) for c in range(33, 0x250)]
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice([*alphabet, " "], 30)) for _ in range(300)]
+    texts += ["", " ", "Don't stop, it's İstanbul! ÀÉÎ straße. ŉ ĳ ſ e\u0301té", "<|endoftext|> word", "a" * 5000]
+    assert words.encode(texts) == [token_store.encoded(words.library, t) for t in texts]
+
+
 # 5
 
 

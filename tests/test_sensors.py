@@ -1,6 +1,7 @@
 """Reducers against plain Python, detectors' known cases, sources, the store, and streams against batch."""
 
 import json
+import os
 import math
 
 import duckdb
@@ -132,6 +133,7 @@ def test_stream_equals_batch(spark, tmp_path, make):
     for k, (lo, hi) in enumerate([(0, 17), (17, 60), (60, 120)]):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps(dict(zip(("topic", "key", "value"), r, strict=True))) for r in rows[lo:hi]))
+        os.utime(tmp_path / f"in/{k}.json", (1_700_000_000 + k,) * 2)  # the source replays files by modification time
     stream = src.from_messages(src.file_messages(spark, str(tmp_path / "in")))
     out = str(tmp_path / "out")
     q = store.start(run_stream(stream, make), out, str(tmp_path / "check"))

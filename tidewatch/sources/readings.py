@@ -85,7 +85,7 @@ def kafka_messages(spark: SparkSession, servers: str, topics: list[str] | None =
 
 
 def file_messages(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
-    """A stream of messages (topic, key, value) from JSON files, a replay of a topic."""
+    """A stream of messages (topic, key, value) from JSON files, a replay of a topic in order of the files' modification times."""
     schema = "topic string, key string, value string"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).json(path)
 

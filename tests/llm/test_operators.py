@@ -294,6 +294,28 @@ def test_minhash(spark):
     assert minhash_forest.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_minhash_crowd(spark):
+    """Copies that are near to one original only, in a crowd of others that are near to none: against the similarities themselves."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(400)]
+
+    def altered(i, count):
+        words = list(base)
+        for k in rng.choice(80, count, replace=False) * 5 + 2:
+            words[k] = f"x{i}.{k}"
+        return " ".join(words)
+
+    texts = [altered(i, 8 if i % 4 else 13) for i in range(3000)]
+    texts.insert(1501, " ".join(base))
+    shingles = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    similar = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    copies = {i for i, s in enumerate(shingles) if similar(s, shingles[1501])}
+    assert 2000 < len(copies) < 2500
+    assert not any(similar(shingles[i], shingles[j]) for i, j in rng.choice([k for k in range(3001) if k != 1501], (20000, 2)) if i != j)
+    got = minhash_forest.near_duplicates(docs_frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: min(copies) if i in copies else i for i in range(3001)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]

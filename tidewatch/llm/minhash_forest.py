@@ -11,11 +11,14 @@ candidates.
 2. Each leaf gives a spanning forest of its candidates, best first; sets are compared in full; links are
    joined to components.
 3. Each leaf gives all candidates that are still in different components; the same comparison follows.
-   So no candidate stays untested unless its ends are joined already, and a family of g near copies costs
-   about g comparisons a tree, not g * g.
+   A family of g near copies that are joined by now has cost about g comparisons a tree, not g * g.
+4. Leaves do not show all of a region of more than ``LEAF`` rows. Its rows outside its largest component
+   are compared with all its other rows, in cells of two blocks of ``BLOCK`` rows over many tasks. Each row
+   gives its best candidates of a cell, more in each round, until no candidate of different components is
+   left. A region that is one component by now costs nothing; one of u rows outside costs u times its size.
 
 Labels are dealt out by sorted ranges, so a region with a third of all rows spreads over many tasks.
-A region cut by such a border loses a tree's candidates across it; the other trees have other orders.
+A small region cut by such a border loses a tree's candidates across it; the other trees have other orders.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from .components import components
 
 HASHES, TREES, DEPTH, SHALLOW = 128, 32, 8, 4
 LEAF = 32
+BLOCK, FIRST_BEST, MORE_BEST = 512, 4, 8  # rows of a block; candidates of a row and cell at first, and times as many in each round
 SLACK = 0.14  # four standard deviations of a share of 128 hashes at a similarity of 0.8
 MOST_BROADCAST = 1_000_000
 
@@ -209,6 +213,89 @@ def candidates(classes: DataFrame, similarity: float, forest: bool) -> DataFrame
     return map_batches(rows, fn, "a long, b long").distinct()
 
 
+def cells(crowds: DataFrame, classes: DataFrame) -> DataFrame:
+    """(region, lo, hi, side, uu, cid, comp, bits): each row of a crowd (region, cid) of several components, once for each cell it is in.
+
+    A region's rows outside its largest component are in blocks lo, each compared with every block hi of theirs (uu) and of
+    that component. side is 0 for rows of lo, 1 for rows of hi, 2 for rows of both."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = (_signatures(b) & 0xFF).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("comp"), pa.FixedSizeBinaryArray.from_buffers(pa.binary(HASHES), len(bits), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())], names=["cid", "comp", "bits"])
+
+    rows = crowds.join(classes.select("cid", "comp"), "cid")
+    parts = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    parts = parts.select("region", F.col("main.comp").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("nu"), blocks(F.col("main.n")).alias("nm"))
+    rows = rows.join(parts, "region")
+    outside, nu, nm = F.col("comp") != F.col("main"), F.col("nu"), F.col("nm")
+    own = F.pmod(F.xxhash64("cid"), F.when(outside, nu).otherwise(nm)).cast("int")
+    cell = lambda lo, hi, side, uu: F.struct(lo.alias("lo"), hi.alias("hi"), side.alias("side"), F.lit(uu).alias("uu"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    among = F.transform(upto(nu), lambda j: cell(F.least(F.col("own"), j), F.greatest(F.col("own"), j), F.when(F.col("own") < j, 0).when(F.col("own") > j, 1).otherwise(2), True))
+    to_main = F.transform(upto(nm), lambda j: cell(F.col("own"), nu + j, F.lit(0), False))
+    of_main = F.transform(upto(nu), lambda i: cell(i, nu + F.col("own"), F.lit(1), False))
+    dealt = rows.withColumn("own", own).select("region", "cid", F.explode(F.when(outside, F.concat(among, to_main)).otherwise(of_main)).alias("c"))
+    wanted = rows.select("cid").distinct()
+    known = map_batches(classes.join(wanted, "cid", "left_semi").select("cid", "comp", "signature"), fn, "cid long, comp long, bits binary")
+    return dealt.select("region", "c.*", "cid").join(known, "cid")
+
+
+def cell_pairs(side: np.ndarray, uu: bool, cid: np.ndarray, comp: np.ndarray, bits: np.ndarray, least: float, best: int) -> tuple[set[tuple[int, int]], bool]:
+    """Candidates of different components between a cell's blocks: the best of each row outside the largest component; whether there are more."""
+    x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    agree = np.zeros((len(x), len(y)), np.int16)
+    for i in range(0, len(x), 64):
+        same = (bits[x[i : i + 64], None, :] == bits[None, y, :]).view(np.uint64).sum(2)  # eight counts of bytes in each number
+        agree[i : i + 64] = (same * np.uint64(0x0101010101010101)) >> np.uint64(56)
+    good = (agree >= least * HASHES) & (comp[x][:, None] != comp[y][None, :])
+    agree[~good] = 0
+    taken = np.zeros_like(good)
+    for a, t in ((agree, taken), (agree.T, taken.T))[: 1 + uu]:
+        if best < a.shape[1]:
+            np.put_along_axis(t, np.argpartition(-a, best - 1, axis=1)[:, :best], True, axis=1)
+        else:
+            t[:] = True
+    i, j = np.nonzero(good & taken)
+    p, q = cid[x[i]], cid[y[j]]
+    return set(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True)), bool((good & ~taken).any())
+
+
+def crowd_candidates(crowds: DataFrame, classes: DataFrame, similarity: float, best: int) -> DataFrame:
+    """(a, b): candidate pairs of different components within crowds, each once; a row of nulls if there are more."""
+    least = similarity - SLACK
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        name = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, HASHES)
+            pairs, more = cell_pairs(t.column("side").to_numpy(), t.column("uu")[0].as_py(), t.column("cid").to_numpy(), t.column("comp").to_numpy(), bits, least, best)
+            pairs = [*sorted(pairs), *[(None, None)] * more]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("region", "lo", "hi")], 1)
+            cuts = 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(1))
+            for lo, hi in pairwise([0, *cuts.tolist(), len(keys)]):
+                if held and tuple(keys[lo]) != name:
+                    yield from done()
+                    held.clear()
+                name = tuple(keys[lo])
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from done()
+
+    rows = cells(crowds, classes).repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", "cid")
+    return map_batches(rows, fn, "a long, b long").distinct()
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(cid, shingles) of the wanted classes (cid, rep, key), from the whole text of the document rep."""
 
@@ -255,17 +342,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     classes = keep(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "rep", "signature"), "classes")
     dense = regions(classes)
-    crowded = dense.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
-    near = keep(dense.join(crowded, "region").select("cid").distinct().join(classes, "cid"), "near")
+    crowded = dense.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dense = keep(dense.join(crowded, "region"), "regions")
+    near = keep(dense.select("cid").distinct().join(classes, "cid"), "near")
     first = keep(candidates(near.withColumn("comp", F.col("cid")), percent / 100, True), "pairs")
     involved = first.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     sets = keep(full_sets(docs, near.join(involved, "cid").select("cid", "rep", "key"), shingle), "sets")
     links = keep(confirmed(first, sets, percent), "links")
     joined = components(links)
-    again = near.join(involved, "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
-    second = candidates(keep(again, "again"), percent / 100, False).join(first, ["a", "b"], "left_anti")
-    more = keep(confirmed(keep(second, "pairs"), sets, percent), "links")
-    joined = components(links.unionByName(more))
+    with_comp = lambda c: c.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    again = with_comp(near.join(involved, "cid"))
+    second = keep(candidates(keep(again, "again"), percent / 100, False).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = keep(confirmed(second, sets, percent), "links")
+    links, tested = links.unionByName(more), first.unionByName(second)
+    joined = keep(components(links), "joined")
+    crowds, best, left = dense.where(F.col("n") > LEAF).select("region", "cid"), FIRST_BEST, not dense.where(F.col("n") > LEAF).isEmpty()
+    while left:
+        found = keep(crowd_candidates(crowds, with_comp(near.join(crowds.select("cid").distinct(), "cid")), percent / 100, best), "found")
+        left = not found.where("a is null").isEmpty()
+        pairs = keep(found.where("a is not null").join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            unread = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(sets.select("cid"), "cid", "left_anti")
+            sets = sets.unionByName(keep(full_sets(docs, near.join(unread, "cid").select("cid", "rep", "key"), shingle), "sets"))
+            more = keep(confirmed(pairs, sets, percent), "links")
+            links, tested = links.unionByName(more), tested.unionByName(pairs)
+            joined = joined if more.isEmpty() else keep(components(links), "joined")
+        best *= MORE_BEST
     named = classes.select("cid", "key", "rep").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("key", "component_id")

@@ -177,3 +177,24 @@ def test_against_sql(spark, name):
             assert np.allclose(got[c].astype(float), want[c].astype(float), atol=2e-6, equal_nan=True), c
         elif "time" not in str(got[c].dtype):
             assert (got[c].astype(str) == want[c].astype(str)).all(), c
+
+
+def events_by_topic():
+    """Present readings of the small events table, from its file: topic -> [(seq, value)] in time order."""
+    rows = duckdb.sql(f"SELECT event_type, event_id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END FROM '{SF}/events.parquet' ORDER BY ts, event_id").fetchall()
+    out = {}
+    for t, i, v in rows:
+        out.setdefault(t, []).append((i, v))
+    return out
+
+
+def test_ewma_of_every_reading(spark):
+    want = {}
+    for t, rows in events_by_topic().items():
+        m = s = n = 0
+        for i, v in rows:
+            if v is not None:
+                m, s, n = 0.7 * m + 0.3 * v, 0.7 * s + 0.3 * v * v, n + 1
+                want[i] = (t, m, n * (s - m * m) / (n - 1) if n > 1 else 0.0)
+    got = {r.seq: (r.topic, r.mean, r.variance) for r in catalogue.QUERIES["ewma_readings"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and np.allclose(got[i][1:], want[i][1:]) for i in want)

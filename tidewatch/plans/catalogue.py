@@ -227,6 +227,12 @@ def ewma_stats(r: DataFrame) -> DataFrame:
     return out.where("k % 50 = 0").select("seq", "topic", r6("mean").alias("mean"))
 
 
+@query()
+def ewma_readings(r: DataFrame) -> DataFrame:
+    """Exponential mean and variance at every present reading of a topic; ewma_stats is what SQL can check of it."""
+    return run_batch(r.where("value is not null"), partial(S.Ewma, 0.3)).select("seq", "topic", "mean", "variance")
+
+
 @query(f"SELECT seq, topic, round(avg(value) OVER w + 0.0000001234567, 6) AS mean, round(coalesce(var_samp(value) OVER w, 0), 4) AS variance FROM readings WHERE value IS NOT NULL WINDOW w AS ({T} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def sequential_stats(r: DataFrame) -> DataFrame:
     w = W.so_far()

@@ -198,3 +198,31 @@ def test_ewma_of_every_reading(spark):
                 want[i] = (t, m, n * (s - m * m) / (n - 1) if n > 1 else 0.0)
     got = {r.seq: (r.topic, r.mean, r.variance) for r in catalogue.QUERIES["ewma_readings"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and np.allclose(got[i][1:], want[i][1:]) for i in want)
+
+
+def brute_lof(values, k):
+    """Factors of sorted values by all distances; of equal ones the nearer in order, then the lower."""
+    v = np.array(values)
+    i = np.arange(len(v))
+    near = [sorted(set(range(len(v))) - {a}, key=lambda b, a=a: (abs(v[a] - v[b]), abs(a - b), b))[:k] for a in i]
+    d = [np.abs(v[near[a]] - v[a]) for a in i]
+    far = np.array([x.max() for x in d])
+    density = np.array([1 / (np.maximum(d[a], far[near[a]]).mean() + 1e-10) for a in i])
+    return [density[near[a]].mean() / density[a] for a in i]
+
+
+def test_lof_of_every_reading(spark):
+    want = {}
+    for t, rows in events_by_topic().items():
+        before = [None] + [v for _, v in rows][:-1]
+        steps = [(i, 0.0 if not n and v is not None else None if v is None or b is None else v - b) for n, ((i, v), b) in enumerate(zip(rows, before, strict=True))]
+        for series_name, points, k, share in (("value", rows, 15, 0.075), ("difference", steps, 20, 0.05)):
+            points = sorted((v, i) for i, v in points if v is not None)
+            lof = brute_lof([v for v, _ in points], k)
+            limit = np.percentile(lof, 100 * (1 - share))
+            want |= {(series_name, i): (t, v, x, x > limit) for (v, i), x in zip(points, lof, strict=True)}
+    got = {(r.series, r.seq): (r.topic, r.value, r.lof, r.outlier) for r in catalogue.QUERIES["lof_outliers"](spark, SF).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[x][0] == want[x][0] and np.allclose(got[x][1:3], want[x][1:3]) and got[x][3] == want[x][3] for x in want)
+    few = A.local_outlier_factor(series(spark, [1, 2, 9]).unionByName(series(spark, [5], "b")), 15, 0.075).collect()
+    assert {(r.topic, r.value): r.outlier for r in few} == {("a", 1.0): False, ("a", 2.0): True, ("a", 9.0): False, ("b", 5.0): False}  # 16 / 15 at 2, 31 / 32 at 1 and 9

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import quantile
+from ..plans.scratch import keep
 from .windows import rows, sliding_values
 
 FENCE = 1.5
@@ -68,3 +69,26 @@ def z_flags(readings: DataFrame, last: int = 6, limit: float = 3.5) -> DataFrame
     return r.withColumn("z", z).withColumn("flag", F.abs("z") > limit)
 
 
+def local_outlier_factor(points: DataFrame, k: int, contamination: float, column: str = "value") -> DataFrame:
+    """Present points with lof, and whether it is over the topic's quantile 1 - contamination.
+
+    In one dimension the k nearest points are among k on either side in the order of (column, seq); of points equally far
+    those nearer in that order come first, then the lower. A topic of k points or fewer has as many neighbours as it has;
+    a single point has no factor and is no outlier."""
+    order = Window.partitionBy("topic").orderBy(column, "seq")
+    around = order.rowsBetween(-k, k)
+    p = points.where(F.col(column).isNotNull()).withColumn("_i", F.row_number().over(order))
+    p = p.withColumn("_near", F.collect_list(F.struct(F.col(column).alias("v"), F.col("_i").alias("i"))).over(around))
+    apart = F.transform(F.filter("_near", lambda q: q["i"] != F.col("_i")), lambda q: F.struct(F.abs(q["v"] - F.col(column)).alias("d"), F.abs(q["i"] - F.col("_i")).alias("gap"), q["i"].alias("i")))
+    p = p.withColumn("_near", F.slice(F.array_sort(apart), 1, k))
+    at = lambda values, i: F.element_at(values, i - F.greatest(F.col("_i") - k, F.lit(1)) + 1)
+    mean = lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / F.size(x))
+    p = p.withColumn("_far", F.coalesce(F.array_max(F.transform("_near", lambda q: q["d"])), F.lit(0.0)))
+    p = p.withColumn("_fars", F.collect_list("_far").over(around))
+    p = p.withColumn("_density", F.coalesce(1 / (mean(F.transform("_near", lambda q: F.greatest(q["d"], at(F.col("_fars"), q["i"])))) + 1e-10), F.lit(0.0)))
+    p = p.withColumn("_densities", F.collect_list("_density").over(around))
+    p = p.withColumn("lof", mean(F.transform("_near", lambda q: at(F.col("_densities"), q["i"]))) / F.col("_density"))
+    p = keep(p.drop("_i", "_near", "_far", "_fars", "_density", "_densities"), "lof")
+    limits = p.groupBy("topic").agg(F.percentile("lof", F.lit(1 - contamination)).alias("_limit"))
+    p = p.join(limits.withColumnRenamed("topic", "_topic"), F.col("topic").eqNullSafe(F.col("_topic")))
+    return p.withColumn("outlier", F.coalesce(F.col("lof") > F.col("_limit"), F.lit(False))).drop("_topic", "_limit")

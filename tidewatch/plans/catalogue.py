@@ -420,6 +420,14 @@ def lof_scores(r: DataFrame) -> DataFrame:
     return near.join(other, "b").join(lrd, "a").groupBy(F.col("a").alias("id")).agg(F.round(F.avg("o") / F.max("lrd"), 5).alias("lof"))
 
 
+@query()
+def lof_outliers(r: DataFrame) -> DataFrame:
+    """Local outlier factors and labels of every topic's present readings and of their differences; lof_scores is a small case that SQL can check."""
+    d = r.withColumn("value", W.differences())
+    found = [A.local_outlier_factor(x, k, c).withColumn("series", F.lit(n)) for n, x, k, c in (("value", r, 15, 0.075), ("difference", d, 20, 0.05))]
+    return found[0].unionByName(found[1]).select("seq", "topic", "series", "value", "lof", "outlier")
+
+
 @query()
 def online_forecast(r: DataFrame) -> DataFrame:
     """Running errors of the online learner, each prediction against the next reading."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import clip, normal_cdf, quantile
 from tidewatch.operators import anomaly as A
+from tidewatch.operators import forecast as M
 from tidewatch.operators import sketch as S
 from tidewatch.operators import windows as W
 from tidewatch.operators.stateful import run_batch, run_stream
@@ -226,3 +227,14 @@ def test_lof_of_every_reading(spark):
     assert all(got[x][0] == want[x][0] and np.allclose(got[x][1:3], want[x][1:3]) and got[x][3] == want[x][3] for x in want)
     few = A.local_outlier_factor(series(spark, [1, 2, 9]).unionByName(series(spark, [5], "b")), 15, 0.075).collect()
     assert {(r.topic, r.value): r.outlier for r in few} == {("a", 1.0): False, ("a", 2.0): True, ("a", 9.0): False, ("b", 5.0): False}  # 16 / 15 at 2, 31 / 32 at 1 and 9
+
+
+def test_gbt_of_every_topic(spark):
+    got = {(r.topic, r.horizon): r for r in catalogue.QUERIES["gbt_forecast"](spark, SF).collect()}
+    assert got.keys() == {(t, h) for t in events_by_topic() for h in W.HORIZONS}
+    split = W.time_split(W.supervised(src.from_events(spark, SF).where("topic = 'view'")))
+    scored = M.score(split, M.train(split, (2,))).where("split = 'test'")
+    want = scored.agg(*[c.alias(n) for n, c in M.metrics(F.col("target_H2"), F.col("pred_H2")).items()]).first()
+    assert np.allclose([got["view", 2][n] for n in ("mae", "rmse", "r2")], list(want), rtol=0.2)
+    short = M.report_of_test_rows(W.time_split(W.supervised(series(spark, range(30))).limit(1))).collect()
+    assert [(r.topic, r.horizon, r.mae) for r in short] == [("a", h, None) for h in W.HORIZONS]

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import keep
 from .windows import HORIZONS
 
+SIDE_BY_SIDE = 4
 NOT_FEATURES = ("topic", "ts", "seq", "split")
 
 
@@ -45,6 +51,28 @@ def score(df: DataFrame, models: dict[int, PipelineModel]) -> DataFrame:
     return df
 
 
+def report_of_test_rows(split: DataFrame, horizons: tuple[int, ...] = HORIZONS, **settings) -> DataFrame:
+    """(topic, horizon, mae, rmse, r2) over each topic's test rows, by models of its own training rows; NULL for topics without any.
+
+    Models of different topics are trained side by side."""
+    split = keep(split, "split")
+    trained = sorted(split.where("split = 'train'").select("topic").distinct().collect(), key=lambda r: (r.topic is not None, r.topic))
+
+    def predicted(topic: str | None) -> DataFrame:
+        rows = split.where(F.col("topic").eqNullSafe(F.lit(topic)))
+        scored = score(rows.where("split = 'test'"), train(rows, horizons, **settings))
+        return keep(scored.select("topic", *[f"{x}_H{h}" for h in horizons for x in ("target", "pred")]), "predicted")
+
+    with ThreadPool(SIDE_BY_SIDE) as pool:
+        parts = pool.map(inheritable_thread_target(split.sparkSession)(predicted), [r.topic for r in trained])
+    rest = split.where("split = 'test'").join(split.where("split = 'train'").select(F.col("topic").alias("_topic")).distinct(), F.col("topic").eqNullSafe(F.col("_topic")), "left_anti")
+    scored = rest.select("topic", *[c for h in horizons for c in (f"target_H{h}", F.lit(None).cast("double").alias(f"pred_H{h}"))])
+    for part in parts:
+        scored = scored.unionByName(part)
+    rows = [scored.groupBy("topic").agg(F.lit(h).alias("horizon"), *[c.alias(n) for n, c in metrics(F.col(f"target_H{h}"), F.col(f"pred_H{h}")).items()]) for h in horizons]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def metrics(actual: Column, predicted: Column) -> dict[str, Column]:
     """MAE, RMSE and R2 over rows where both are present."""
     both = actual.isNotNull() & predicted.isNotNull()

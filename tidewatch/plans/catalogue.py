@@ -438,11 +438,8 @@ def online_forecast(r: DataFrame) -> DataFrame:
 
 @query()
 def gbt_forecast(r: DataFrame) -> DataFrame:
-    """Test metrics of the boosted trees for each horizon of one topic."""
-    split = W.time_split(W.supervised(r.where("topic = 'click'")))
-    scored = M.score(split, M.train(split, trees=5, depth=3)).where("split = 'test'")
-    rows = [scored.agg(F.lit(h).alias("horizon"), *[c.alias(n) for n, c in M.metrics(F.col(f"target_H{h}"), F.col(f"pred_H{h}")).items()]) for h in W.HORIZONS]
-    return rows[0].union(rows[1]).union(rows[2])
+    """Test metrics of the boosted trees for each topic and horizon."""
+    return M.report_of_test_rows(W.time_split(W.supervised(r)))
 
 
 for _name in PANELS:

@@ -362,6 +362,13 @@ def test_toxicity(spark):
     assert toxicity.fit(docs.limit(0), told).score(docs.limit(0)).count() == 0
 
 
+def test_shouting_counts_all_letters():
+    lexicon = toxicity.Lexicon([b"idiot"], 1)
+    bit = 1 << list(toxicity.VOTERS).index("shouting")
+    for text, want in (("DUMB", True), ("HUGGY", True), ("DUMB PUPPY much", True), ("dumb", False), ("TEAR my muddy buddy", False), ("AB ab", False), ("", False), (None, False)):
+        assert bool(lexicon.read(text)[0] & bit) == want, text
+
+
 # 9
 
 

@@ -101,8 +101,8 @@ class Lexicon:
         return mask, sorted(hits) + [len(self.entries) + i for i, v in enumerate(votes) if v]
 
 
-_CAPITALS = b"AEINORST"
-_SMALL = b"aeinorst"
+_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SMALL = _CAPITALS.lower()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:

@@ -24,10 +24,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id."""
-    docs = docs.select(*COLUMNS)
-    kept = minhash_forest.near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi"))
+    """One row of each group of near copies, that with the smallest id; rows with null ids come last. Texts without words all stay."""
+    rows = keep(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = minhash_forest.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle=5, percent=80)
+    ids = rows.select("_row", "doc_id").join(groups.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_row")).alias("x"))
+    return rows.join(first.select(F.col("x._row").alias("_row")), "_row", "left_semi").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,13 @@ def test_stages(spark):
     assert len(out) == kept[-1].count()
     assert (out.start.to_numpy() == np.cumsum(out.n_tokens) - out.n_tokens).all() and out.doc_id.is_monotonic_increasing
     assert kept[-1].groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_one_row_of_each_group(spark):
+    a, b, c = ("one two three four five six seven", "ONE two three four five six seven", "eight nine ten eleven twelve thirteen")
+    rows = [(2, a), (2, a), (1, b), (1, c), (4, c), (None, c), (None, "alone in all of these few rows"), (None, "alone in all of these few rows"), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.without_near_duplicates(spark, docs, SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    want = [(1, b), (1, c), (None, "alone in all of these few rows"), (7, ""), (8, None)]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, want))

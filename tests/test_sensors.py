@@ -11,13 +11,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidewatch.functions import columns as C
 from tidewatch.functions.columns import clip, normal_cdf, quantile
 from tidewatch.operators import anomaly as A
 from tidewatch.operators import forecast as M
 from tidewatch.operators import sketch as S
 from tidewatch.operators import windows as W
-from tidewatch.operators.stateful import run_batch, run_stream
+from tidewatch.operators.stateful import Observers, run_batch, run_stream
 from tidewatch.plans import catalogue
+from tidewatch.plans.scratch import new_path
 from tidewatch.sources import readings as src
 from tidewatch.streaming import store
 
@@ -126,7 +128,7 @@ def test_sources(spark, tmp_path):
     assert src.read_reports(spark, str(tmp_path / "report_T.json")).first().RMSE == 2.0
 
 
-@pytest.mark.parametrize("make", [S.Ewma, S.Digest, S.MannKendall, S.LossyCounting, S.OnlineForecast])
+@pytest.mark.parametrize("make", [S.Ewma, S.Digest, S.TrendDriver, S.LossyCounting, S.OnlineForecast, S.AnomalyDetector, S.RecentAnomaly])
 def test_stream_equals_batch(spark, tmp_path, make):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rng = np.random.default_rng(6)
@@ -160,7 +162,7 @@ def test_time_split_and_rolls(spark):
     assert W.features(series(spark, [1, 2]), full=False).orderBy("seq").collect()[1].value_rollmean3 == 1.0
 
 
-NAMES = ("recent_readings_flagged", "global_iqr_exact", "exact_mk_by_block", "ewma_stats", "lag_roll_features", "label_recall", "lof_scores", "pair_correlation", "panel_recent_readings", "panel_performance_h1")
+NAMES = ("recent_readings_flagged", "global_iqr_exact", "exact_mk_by_block", "ewma_readings", "anomaly_detector_exact", "recent_anomalies", "hourly_counts", "lag_roll_features", "label_recall", "lof_scores", "pair_correlation", "panel_recent_readings", "panel_performance_h1")
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -170,7 +172,7 @@ def test_against_sql(spark, name):
     want = con.execute(catalogue.ORACLE_SQL[name]).df()
     got = catalogue.QUERIES[name](spark, SF).toPandas()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
-    order = [c for c in ("topic", "seq", "block", "id", "tie") if c in got.columns]
+    order = [c for c in ("topic", "seq", "block", "id", "tie", "hour") if c in got.columns]
     if order:
         got, want = (d.sort_values(order).reset_index(drop=True) for d in (got, want))
     for c in got.columns:
@@ -233,8 +235,139 @@ def test_gbt_of_every_topic(spark):
     got = {(r.topic, r.horizon): r for r in catalogue.QUERIES["gbt_forecast"](spark, SF).collect()}
     assert got.keys() == {(t, h) for t in events_by_topic() for h in W.HORIZONS}
     split = W.time_split(W.supervised(src.from_events(spark, SF).where("topic = 'view'")))
-    scored = M.score(split, M.train(split, (2,))).where("split = 'test'")
+    scored = M.score(split.where("split = 'test'"), M.train(split, (2,)))
     want = scored.agg(*[c.alias(n) for n, c in M.metrics(F.col("target_H2"), F.col("pred_H2")).items()]).first()
     assert np.allclose([got["view", 2][n] for n in ("mae", "rmse", "r2")], list(want), rtol=0.2)
     short = M.report_of_test_rows(W.time_split(W.supervised(series(spark, range(30))).limit(1))).collect()
     assert [(r.topic, r.horizon, r.mae) for r in short] == [("a", h, None) for h in W.HORIZONS]
+
+
+def test_ties_keep_the_later_bound():
+    """Buckets of two values. A count first kept in the first bucket gets the bound of its next hit's bucket."""
+    c = S.LossyCounting(0.5, 1.0)
+    for x in (1, 1, 1, 5, 6, 7):
+        c.add(x)
+    assert c.kept == {1: [3, 1]}  # 3 + 0 would have gone at the end of the third bucket
+    c.add(8)
+    c.add(9)
+    assert c.kept == {}
+    assert S.MannKendall().ties.width == 10
+
+
+def test_trend_by_hand():
+    """Below 2 / delta values the digest holds them all, so S, ties and Z follow from ranks."""
+    values = [float(v) for v in (3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9, 3, 2, 3, 8, 4, 6, 2, 6, 4)]
+    m = S.MannKendall(0.06)
+    out = [m.step(v) for v in values]
+    s = 0.0
+    for n in range(20, len(values) + 1):
+        seen, x = sorted(values[:n]), values[n - 1]
+        q = [seen[math.ceil(p / 100 * n) - 1] for p in range(5, 100, 5)]
+        k = next((i for i in range(18) if q[i] <= x <= q[i + 1] and q[i] < q[i + 1]), None)
+        cdf = 0.0 if x <= q[0] else 1.0 if x >= q[-1] else (5 * (k + 1) + 5 * (x - q[k]) / (q[k + 1] - q[k])) / 100
+        s += n * (2 * cdf - 1)
+        assert abs(out[n - 1][0] - s) < 1e-9
+    assert out[18][1] is None and out[-1][1] is not None
+
+
+def test_student(spark):
+    """Against the density, integrated."""
+    for freedom in (1, 2, 3, 8, 49):
+        x = np.linspace(-400, 1.3, 4_000_001)
+        f = math.gamma((freedom + 1) / 2) / math.sqrt(freedom * math.pi) / math.gamma(freedom / 2) * (1 + x * x / freedom) ** (-(freedom + 1) / 2)
+        want = float(((f[1:] + f[:-1]) / 2 * np.diff(x)).sum()) + (1 / math.pi / 400 if freedom == 1 else 0)
+        got = spark.range(1).select(C.t_below(F.lit(1.3), freedom).alias("a"), C.t_below(F.lit(-1.3), freedom).alias("b")).first()
+        assert abs(got.a - want) < 2e-5 and abs(got.a + got.b - 1) < 1e-12
+
+
+def test_blocks_equal_whole_topics(spark):
+    rng = np.random.default_rng(9)
+    values = [None if k % 7 == 3 else float(v) for k, v in enumerate(rng.normal(50, 9, 200))]
+    r = series(spark, values).unionByName(series(spark, values[:40], "b")).unionByName(series(spark, values[5:60], None))
+    made = lambda x: x.withColumns(W.lags() | W.rolls() | W.targets())
+    whole, cut = made(r).collect(), W.in_blocks(r, made, 24, 3, block_rows=30).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, cut))
+    flags = lambda x: sorted(map(str, x.select("topic", "seq", "missing", "local").collect()))
+    assert flags(A.local_flags(r)) == flags(W.in_blocks(r, A.local_flags, 7, block_rows=30))
+    place = {(x.topic, x.seq): x._pos for x in W.numbered(r, 5).collect()}
+    assert place == {(t, i): i for t, n in (("a", 200), ("b", 40), (None, 55)) for i in range(n)}
+    e = r.withColumn("pred", F.lit(50.0))
+    a, b = (sorted((x.topic or "", x.seq, x.ae, x.mae, x.rmse, x.bias) for x in W.with_running_errors(e, block_rows=n).collect()) for n in (10**6, 10))
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    for x, y in zip(a, b, strict=True):
+        assert np.allclose([v or 0 for v in x[2:]], [v or 0 for v in y[2:]])
+
+
+def test_detectors_and_observers(spark):
+    rng = np.random.default_rng(3)
+    values = [None if k % 13 == 5 else float(v) for k, v in enumerate(rng.normal(0, 5, 150))]
+    r = series(spark, values).unionByName(series(spark, values[::-1], "b"))
+    sql = {(x.topic, x.seq): (x.missing, x.local) for x in A.local_flags(r).collect()}
+    rows = A.detect_anomalies(r, only_found=False).collect()
+    assert {(x.topic, x.seq): (x.missing, x.local) for x in rows} == sql and any(x["global"] for x in rows)
+    assert all(not (x["global"] or x.missing or x.local) for x in rows if x.seq < 7)
+    shared = A.detect_anomalies(r, "shared", False).collect()
+    g, want = S.GlobalOutlier(), {}
+    for x in sorted(rows, key=lambda x: (x.ts, x.seq, x.topic)):
+        want[x.topic, x.seq] = g.step(x.novelty)[2] and x.seq >= 7
+    assert {(x.topic, x.seq): x["global"] for x in shared} == want
+    o = Observers()
+    o.add("n", lambda x, made: x.groupBy("topic").count())
+    o.add("m", lambda x, made: made["n"].agg(F.max("count").alias("most")))
+    assert o.run(r)["m"].first().most == 150
+    o.remove("n")
+    assert list(o.by_name) == ["m"]
+
+
+def test_late_rows(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    hours = [[3, 4], [2, 5], [5, 1, 6]]
+    for k, part in enumerate(hours):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps({"topic": "a", "key": f"01/03/2004 {h:02d}.00.00", "value": "1"}) for h in part))
+        os.utime(tmp_path / f"in/{k}.json", (1_700_000_000 + k,) * 2)
+    stream = src.from_messages(src.file_messages(spark, str(tmp_path / "in")))
+    assert store.start(run_stream(stream, S.Ewma, drop_late=True), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    got = sorted((r.ts.hour, r.late_rows) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(3, 0), (4, 0), (5, 1), (6, 3)]
+
+
+def test_models_on_disk(spark):
+    split = W.time_split(W.supervised(src.from_events(spark, SF).where("topic = 'view'"))).cache()
+    folder = new_path(spark, "models")
+    models = M.train(split, (1, 2))
+    M.save_models(models, folder, "a/b")
+    M.save_models({1: models[1]}, folder, "other", "rf")
+    assert {t: list(x) for t, x in M.scan_models(spark, folder).items()} == {"a-b": [1, 2]}
+    assert M.scan_models(spark, folder + "-none") == {}
+    rows = split.where("split = 'test'")
+    served = M.serve(rows.withColumn("topic", F.lit("a/b")).unionByName(rows.limit(1)), folder)
+    want = [r.pred_H1 for r in M.score(rows, models).orderBy("seq").collect()]
+    got = served.orderBy("topic", "seq").collect()
+    assert [r.pred_H1 for r in got[:-1]] == want and all(r.pred_H3 is None for r in got) and got[-1].pred_H2 is None
+    lacking = M.predict(rows.drop("value_lag1"), models)
+    assert lacking.where("pred_H1 is null").count() == 0 and "value_lag1" not in lacking.columns
+    top = M.permutation_importance(models[1], split.where("split = 'val'"), "target_H1").collect()
+    assert 0 < len(top) <= 20 and [t.importance for t in top] == sorted((t.importance for t in top), reverse=True)
+    f = M.prediction_fields(spark.createDataFrame([("a", 1.0, None)], "topic string, `H+1` double, `H+2` double")).first()
+    assert f.pred_H1 == 1.0 and math.isnan(f.pred_H2)
+
+
+def test_online_features(spark):
+    hours = series(spark, [float(k % 24) for k in range(60)], "t").unionByName(series(spark, [None if k == 5 else float(k) for k in range(60)], "rh"))
+    rows, names = M.online_inputs(hours, ("t", "rh"))
+    assert len(names) + len(S.OnlineForecast.LAGS) + 2 * len(S.OnlineForecast.ROLLS) == 19
+    x = rows.where("topic = 't' and seq = 8").first()
+    assert (x.t_cur, x.t_lag1, x.t_lag3, x.rh_cur, x.rh_lag3, x.t_x_rh, x.hour) == (8.0, 7.0, 5.0, 8.0, None, 64.0, 8)
+    out = M.forecast_online(hours).orderBy("topic", "seq").collect()
+    assert len(out) == 120 and all((r.online_pred is None) == (r.seq < 6) for r in out)
+
+
+def test_names_and_frames(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "b", 3.0), (2, "a", 4.0)], "h int, topic string, value double")
+    wide = C.renamed_by_regex(C.partitioned_by_values(df, "h", "topic", "value", ["a", "b"]), "^([ab])$", r"s_\1")
+    assert sorted(map(tuple, wide.collect())) == [(1, 2.0, 3.0), (2, 4.0, None)] and wide.columns == ["h", "s_a", "s_b"]
+    with pytest.raises(ValueError):
+        C.renamed_by_regex(df, "h|topic", "x")
+    row = spark.range(1).select(C.bare_number(F.lit("1.5")).alias("a"), C.bare_number(F.lit("x")).alias("b")).first()
+    assert row.a == 1.5 and row.b is None

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import quantile
+from ..functions.columns import bind, quantile, quartiles
 from ..plans.scratch import keep
-from .windows import rows, sliding_values
+from .sketch import AnomalyDetector, FencedDigest, GlobalOutlier
+from .stateful import run_batch
+from .windows import by_topic, in_blocks, rows, sliding_values
 
+KEY = ("topic", "ts", "seq")
 FENCE = 1.5
 MIN_SAMPLES = 8
 
@@ -17,9 +23,8 @@ def novelty(values: Column) -> Column:
     """First differences of a window with missing values replaced by its median and set missing again.
 
     The first element is 0 if present; a window without values stays as it is."""
-    middle = quantile(values, 0.5)
-    filled = F.transform(values, lambda x: F.coalesce(x, middle))
-    return F.transform(values, lambda x, i: F.when(x.isNull(), F.lit(None).cast("double")).when(i == 0, 0.0).otherwise(x - F.element_at(filled, F.greatest(i, F.lit(1)))))
+    steps = lambda filled: F.transform(values, lambda x, i: F.when(x.isNull(), F.lit(None).cast("double")).when(i == 0, 0.0).otherwise(x - F.element_at(filled, F.greatest(i, F.lit(1)))))
+    return bind(quantile(values, 0.5), lambda middle: bind(F.transform(values, lambda x: F.coalesce(x, middle)), steps))
 
 
 def outside(value: Column, q1: Column, q3: Column, fence: float = FENCE) -> Column:
@@ -30,30 +35,53 @@ def outside(value: Column, q1: Column, q3: Column, fence: float = FENCE) -> Colu
 
 def window_outlier(train: Column, value: Column, fence: float = FENCE) -> Column:
     """Whether value is outside the fences of the array train; a missing training value silences it."""
-    return F.when(F.exists(train, lambda x: x.isNull()) | (F.size(train) == 0), False).otherwise(outside(value, quantile(train, 0.25), quantile(train, 0.75), fence))
+    return F.when(F.exists(train, lambda x: x.isNull()) | (F.size(train) == 0), False).otherwise(quartiles(train, lambda q1, q3: outside(value, q1, q3, fence)))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row, whatever filters on them come later."""
+    made = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.inline(made))
 
 
 def with_novelty(readings: DataFrame, size: int = 8) -> DataFrame:
     """readings with window_size, the window's novelty array and the row's novelty."""
     values = readings.withColumn("window", sliding_values(size))
-    values = values.withColumn("novelties", novelty(F.col("window")))
+    values = once(values, novelties=novelty(F.col("window")))
     return values.withColumns({"window_size": F.size("window"), "novelty": F.element_at("novelties", -1)}).drop("window")
 
 
 def local_flags(readings: DataFrame, size: int = MIN_SAMPLES, fence: float = FENCE) -> DataFrame:
     """readings with missing and local flags; both are False until a topic has `size` rows."""
-    n = with_novelty(readings, size)
-    ready = F.col("window_size") >= size
-    local = window_outlier(F.slice("novelties", 1, size - 1), F.col("novelty"), fence)
-    return n.withColumns({"missing": ready & F.col("novelty").isNull(), "local": ready & local}).drop("novelties", "window_size")
 
+    def flagged(rows: DataFrame) -> DataFrame:
+        n = with_novelty(rows, size)
+        ready = F.col("window_size") >= size
+        local = window_outlier(F.slice("novelties", 1, size - 1), F.col("novelty"), fence)
+        return once(n, missing=ready & F.col("novelty").isNull(), local=ready & local).drop("novelties", "window_size")
+
+    return in_blocks(readings, flagged, size - 1)
+
+
+def _detector(estimator: Callable) -> AnomalyDetector:
+    return AnomalyDetector(far=estimator())
+
+
+def detect_anomalies(readings: DataFrame, scope: str = "topic", only_found: bool = True, estimator: Callable = FencedDigest) -> DataFrame:
+    """readings (topic, ts, seq, value) with novelty and the flags missing, local and global; by default rows with any flag.
 
-def bounded_quantile_flags(readings: DataFrame, last: int = 500, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """Present readings with whether they lie outside quantiles of the last present ones, their own included."""
-    present = readings.where("value is not null")
-    q = F.percentile("value", F.array(F.lit(low), F.lit(high))).over(rows(1 - last, 0))
-    flagged = present.withColumn("_q", q)
-    return flagged.withColumn("flag", (F.col("value") < F.element_at("_q", 1)) | (F.col("value") > F.element_at("_q", 2))).drop("_q")
+    estimator: makes each topic's global estimator. scope: "topic" for a digest of each topic, "shared" for one digest of all topics' novelties in order of time."""
+    if scope not in ("topic", "shared"):
+        raise ValueError(scope)
+    found = run_batch(readings, partial(_detector, estimator))
+    if scope == "shared":
+        far = run_batch(found, GlobalOutlier, "novelty", together=True)
+        ready = found.withColumn("_ready", F.row_number().over(by_topic()) >= MIN_SAMPLES).drop("global")
+        far = far.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("flag").alias("_flag"))
+        found = ready.join(far, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]).withColumn("global", F.col("_ready") & F.col("_flag"))
+    values = readings.select(*[F.col(c).alias(f"_k_{c}") for c in KEY], "value")
+    out = found.join(values, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in KEY]).select(*KEY, "value", "novelty", "missing", "local", "global")
+    return out.where("missing or local or global") if only_found else out
 
 
 def recent_stats(last: int = 6) -> dict[str, Column]:
@@ -63,10 +91,10 @@ def recent_stats(last: int = 6) -> dict[str, Column]:
 
 
 def z_flags(readings: DataFrame, last: int = 6, limit: float = 3.5) -> DataFrame:
-    """Present readings with the z score among the last present ones and whether it passes the limit."""
+    """Present readings with the z score among the last present ones and whether it reaches the limit."""
     r = readings.where("value is not null").withColumns(recent_stats(last))
     z = F.when(F.col("recent_std") > 0, (F.col("value") - F.col("recent_mean")) / F.col("recent_std")).otherwise(0.0)
-    return r.withColumn("z", z).withColumn("flag", F.abs("z") > limit)
+    return r.withColumn("z", z).withColumn("flag", F.abs("z") >= limit)
 
 
 def local_outlier_factor(points: DataFrame, k: int, contamination: float, column: str = "value") -> DataFrame:

@@ -12,10 +12,11 @@ from ..operators import anomaly as A
 from ..operators import forecast as M
 from ..operators import sketch as S
 from ..operators import windows as W
-from ..operators.stateful import run_batch
+from ..operators.stateful import Observers, run_batch
 from ..sources.readings import from_events, missing_to_null
 from ..streaming.store import merged
 from .panels import PANELS, panel, panel_sql
+from .scratch import new_path
 
 R = "WITH readings AS (SELECT event_id AS seq, ts, event_type AS topic, CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END AS value FROM events)"
 T = "PARTITION BY topic ORDER BY ts, seq"
@@ -101,10 +102,40 @@ def global_iqr_exact(r: DataFrame) -> DataFrame:
 @query()
 def anomaly_detector(r: DataFrame) -> DataFrame:
     """All three detectors, the global one by a digest; rows on which any fires."""
-    n = A.local_flags(r)
-    far = run_batch(n, partial(S.GlobalOutlier, 0.1), "novelty").select("topic", "ts", "seq", F.col("flag").alias("global"))
-    ready = F.row_number().over(W.by_topic()) >= A.MIN_SAMPLES
-    return n.withColumn("ready", ready).join(far, ["topic", "ts", "seq"]).select("seq", "topic", "value", "missing", "local", (F.col("ready") & F.col("global")).alias("global")).where("missing or local or global")
+    return A.detect_anomalies(r).select("seq", "topic", "value", "missing", "local", "global")
+
+
+@query(NOVELTY + f""", g AS (SELECT topic, seq, quantile_cont(novelty, 0.25) OVER w AS q1, quantile_cont(novelty, 0.75) OVER w AS q3, novelty FROM flags WINDOW w AS ({T} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+far AS (SELECT topic, seq, coalesce(novelty < q1 - 1.5 * (q3 - q1) OR novelty > q3 + 1.5 * (q3 - q1), FALSE) AS far FROM g)
+SELECT loc.seq, loc.topic, loc.value, missing, local, n >= 8 AND far AS global FROM loc JOIN far ON loc.seq = far.seq AND loc.topic = far.topic WHERE missing OR local OR n >= 8 AND far""")
+def anomaly_detector_exact(r: DataFrame) -> DataFrame:
+    """The same with exact quartiles of all novelties before, which SQL can check; its state is as long as the series."""
+    return A.detect_anomalies(r, estimator=S.FencedHistory).select("seq", "topic", "value", "missing", "local", "global")
+
+
+@query()
+def anomaly_detector_shared(r: DataFrame) -> DataFrame:
+    """The same with one digest for the novelties of all topics."""
+    return A.detect_anomalies(r, "shared").select("seq", "topic", "value", "missing", "local", "global")
+
+
+def _observed(r: DataFrame) -> dict[str, DataFrame]:
+    watchers = Observers()
+    watchers.add("anomaly", lambda readings, made: A.detect_anomalies(readings))
+    watchers.add("trend", lambda readings, made: run_batch(readings, S.TrendDriver))
+    return watchers.run(r)
+
+
+@query()
+def trend_driver(r: DataFrame) -> DataFrame:
+    """Exponential statistics, quantiles and trend of each present reading; missing ones are skipped."""
+    return _observed(r)["trend"].where("type is not null").drop("ts")
+
+
+@query()
+def trend_driver_with_sentinel(r: DataFrame) -> DataFrame:
+    """The same with missing readings taken for the sentinel."""
+    return run_batch(r, partial(S.TrendDriver, compat_sentinel=True)).drop("ts")
 
 
 @query("SELECT topic, seq, ts, value FROM readings QUALIFY row_number() OVER (PARTITION BY topic ORDER BY ts DESC, seq DESC) = 1")
@@ -133,7 +164,7 @@ SELECT seq, topic, round(abs(pred - value) + 0.0000001234567, 6) AS ae, round(av
 FROM p WINDOW w AS ({T} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def cumulative_error_metrics(r: DataFrame) -> DataFrame:
     p = r.withColumn("pred", F.lag("value").over(W.by_topic()))
-    p = p.withColumns(W.running_errors(F.col("value"), F.col("pred")))
+    p = W.with_running_errors(p)
     return p.select("seq", "topic", *[running(F.col(c)).alias(c) for c in ("ae", "mae", "rmse", "bias")])
 
 
@@ -218,19 +249,13 @@ def exact_mk_by_block(r: DataFrame) -> DataFrame:
     return v.select("topic", "block", F.size("v").cast("long").alias("n"), F.aggregate(signs, F.lit(0.0), lambda a, x: a + x).cast("long").alias("s"))
 
 
-@query(f""", o AS (SELECT topic, seq, value, list(value) OVER ({T} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l, row_number() OVER ({T}) AS k FROM readings WHERE value IS NOT NULL)
-SELECT seq, topic, round(list_reduce(list_prepend(0.0::DOUBLE, l), lambda m, v: 0.7 * m + 0.3 * v), 6) AS mean FROM o WHERE k % 50 = 0""")
-def ewma_stats(r: DataFrame) -> DataFrame:
-    """Exponential mean at every 50th present reading of a topic."""
-    present = r.where("value is not null")
-    out = run_batch(present, partial(S.Ewma, 0.3)).withColumn("k", F.row_number().over(W.by_topic()))
-    return out.where("k % 50 = 0").select("seq", "topic", r6("mean").alias("mean"))
-
-
-@query()
+@query(f""", o AS (SELECT topic, seq, list(value) OVER ({T} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS l, row_number() OVER ({T}) AS n FROM readings WHERE value IS NOT NULL),
+e AS (SELECT topic, seq, n, list_reduce(list_prepend(0.0::DOUBLE, l), lambda m, v: 0.7 * m + 0.3 * v) AS m, list_reduce(list_prepend(0.0::DOUBLE, list_transform(l, lambda v: v * v)), lambda m, v: 0.7 * m + 0.3 * v) AS s FROM o)
+SELECT seq, topic, round(m + 0.0000001234567, 6) AS mean, round(CASE WHEN n > 1 THEN n * (s - m * m) / (n - 1) ELSE 0 END + 0.00001234, 4) AS variance FROM e""")
 def ewma_readings(r: DataFrame) -> DataFrame:
-    """Exponential mean and variance at every present reading of a topic; ewma_stats is what SQL can check of it."""
-    return run_batch(r.where("value is not null"), partial(S.Ewma, 0.3)).select("seq", "topic", "mean", "variance")
+    """Exponential mean and variance at every present reading of a topic."""
+    out = run_batch(r.where("value is not null"), partial(S.Ewma, 0.3))
+    return out.select("seq", "topic", running(F.col("mean")).alias("mean"), F.round(F.col("variance") + F.lit(0.00001234), 4).alias("variance"))
 
 
 @query(f"SELECT seq, topic, round(avg(value) OVER w + 0.0000001234567, 6) AS mean, round(coalesce(var_samp(value) OVER w, 0), 4) AS variance FROM readings WHERE value IS NOT NULL WINDOW w AS ({T} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
@@ -288,9 +313,22 @@ def time_split(r: DataFrame) -> DataFrame:
     return W.time_split(r).groupBy("topic", "split").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
 
 
-@query(f"SELECT seq, topic, value < quantile_cont(value, 0.005) OVER w OR value > quantile_cont(value, 0.995) OVER w AS flag FROM readings WHERE value IS NOT NULL WINDOW w AS ({T} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+RECENT = f""", p AS (SELECT *, quantile_cont(value, 0.005) OVER w AS lo, quantile_cont(value, 0.995) OVER w AS hi FROM readings WHERE value IS NOT NULL WINDOW w AS ({T} ROWS BETWEEN 4999 PRECEDING AND CURRENT ROW)),
+z AS (SELECT seq, topic, value, count(value) OVER w AS n, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd FROM readings WINDOW w AS ({T} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))"""
+
+
+@query(RECENT + " SELECT seq, topic, value < lo OR value > hi AS flag FROM p")
 def bounded_quantile_flags(r: DataFrame) -> DataFrame:
-    return A.bounded_quantile_flags(r, 100).select("seq", "topic", "flag")
+    """Present readings outside the quantiles of their topic's last 5,000."""
+    out = run_batch(r.where("value is not null"), S.RecentAnomaly).join(r, ["topic", "ts", "seq"])
+    return out.select("seq", "topic", ((F.col("value") < F.col("q_low")) | (F.col("value") > F.col("q_high"))).alias("flag"))
+
+
+@query(RECENT + """ SELECT z.seq, z.topic, CASE WHEN z.value IS NULL OR n < 2 THEN NULL WHEN sd > 0 THEN round((z.value - m) / sd, 6) ELSE 0 END AS z,
+coalesce(n >= 2 AND (abs(CASE WHEN sd > 0 THEN (z.value - m) / sd ELSE 0 END) >= 3.5 OR z.value < lo OR z.value > hi), FALSE) AS flag FROM z LEFT JOIN p ON z.seq = p.seq AND z.topic = p.topic""")
+def recent_anomalies(r: DataFrame) -> DataFrame:
+    """z score among the last six readings or quantiles of the last 5,000 present ones."""
+    return run_batch(r, S.RecentAnomaly).select("seq", "topic", r6("z").alias("z"), "flag")
 
 
 LAST6 = f"FROM readings WHERE value IS NOT NULL WINDOW w AS ({T} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
@@ -304,7 +342,7 @@ def recent_band_clamp(r: DataFrame) -> DataFrame:
     return s.select("seq", "topic", r6(C.clip(F.col("value") * 1.5, low, high)).alias("clamped"))
 
 
-@query(f"SELECT seq, topic, round(CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END, 6) AS z, coalesce(abs(CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END) > 3.5, FALSE) AS flag {LAST6}")
+@query(f"SELECT seq, topic, round(CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END, 6) AS z, coalesce(abs(CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END) >= 3.5, FALSE) AS flag {LAST6}")
 def online_z_flags(r: DataFrame) -> DataFrame:
     return A.z_flags(r).select("seq", "topic", r6("z").alias("z"), "flag")
 
@@ -338,6 +376,13 @@ def rolling_tstat(r: DataFrame) -> DataFrame:
     return d.select("seq", "topic", F.round(W.rolling_t("d", 50), 5).alias("t"), F.coalesce(F.col("d") > F.avg("d").over(W.rows(-50, -1)), F.lit(False)).alias("above"))
 
 
+@query()
+def t_test_flags(r: DataFrame) -> DataFrame:
+    """Differences above the mean of the 50 before by a one-sided t test at 0.01."""
+    d = r.withColumn("d", F.col("value") - F.lag("value").over(W.by_topic()))
+    return d.select("seq", "topic", W.t_test("d").alias("flag"))
+
+
 @query(", p AS (SELECT seq, topic, CASE WHEN seq % 2 = 0 THEN value END AS a, value * 2 AS b FROM readings WHERE seq % 3 <> 0 UNION ALL SELECT seq, topic, NULL, value FROM readings) SELECT topic, seq, max(a) AS a, min(b) AS b FROM p GROUP BY 1, 2")
 def point_merge(r: DataFrame) -> DataFrame:
     """Two writes to one key: for each field the last value written to it."""
@@ -355,14 +400,14 @@ def label_union(r: DataFrame) -> DataFrame:
     return r.where("value > 180").select("topic", "ts").union(r.where("value < 2").select("topic", "ts")).distinct().orderBy("topic", "ts")
 
 
-@query(NOVELTY + f", lab AS ({LABELS}), fl AS (SELECT topic, ts FROM loc WHERE local) SELECT count(*) AS labels, count(fl.ts) AS found, round(count(fl.ts) / count(*), 6) AS recall, (SELECT count(*) FROM fl) AS flagged FROM lab LEFT JOIN fl ON lab.topic = fl.topic AND lab.ts = fl.ts")
+@query(NOVELTY + f", lab AS ({LABELS}), fl AS (SELECT topic, ts FROM loc WHERE local) SELECT count(*) AS labels, count(fl.ts) AS found, round(count(fl.ts) / count(*), 6) AS recall, (SELECT count(*) FROM fl) AS flagged, round(count(fl.ts) / (SELECT count(*) FROM fl), 6) AS exactness FROM lab LEFT JOIN fl ON lab.topic = fl.topic AND lab.ts = fl.ts")
 def label_recall(r: DataFrame) -> DataFrame:
     labels = label_union(r).withColumn("labelled", F.lit(1))
     flags = A.local_flags(r).where("local").select("topic", "ts", F.lit(1).alias("flagged"))
     both = labels.join(flags, ["topic", "ts"], "full")
     found = F.sum(F.col("labelled") * F.col("flagged"))
     n = F.count("labelled")
-    return both.agg(n.alias("labels"), F.coalesce(found, F.lit(0)).alias("found"), r6(F.coalesce(found, F.lit(0)) / n).alias("recall"), F.count("flagged").alias("flagged"))
+    return both.agg(n.alias("labels"), F.coalesce(found, F.lit(0)).alias("found"), r6(F.coalesce(found, F.lit(0)) / n).alias("recall"), F.count("flagged").alias("flagged"), r6(F.coalesce(found, F.lit(0)) / F.count("flagged")).alias("exactness"))
 
 
 @query(f""", p AS (SELECT topic, value, lag(value) OVER ({T}) AS pred FROM readings), q AS (SELECT topic, value AS a, pred - value AS e FROM p WHERE value IS NOT NULL AND pred IS NOT NULL)
@@ -428,10 +473,16 @@ def lof_outliers(r: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1]).select("seq", "topic", "series", "value", "lof", "outlier")
 
 
+def hourly(r: DataFrame) -> DataFrame:
+    """Readings by the hour: the mean of each topic, all at the same times, as the sensors of a station are."""
+    hour = F.date_trunc("hour", "ts")
+    return r.groupBy("topic", hour.alias("ts")).agg(F.avg("value").alias("value")).withColumn("seq", F.unix_seconds(F.col("ts").cast("timestamp")))
+
+
 @query()
 def online_forecast(r: DataFrame) -> DataFrame:
-    """Running errors of the online learner, each prediction against the next reading."""
-    p = run_batch(r, S.OnlineForecast).join(r, ["topic", "ts", "seq"])
+    """Errors of the online learner on hourly readings, with two topics as covariates of all, each prediction against the next reading."""
+    p = M.forecast_online(hourly(r), ("click", "view"))
     p = p.withColumn("pred", F.lag("online_pred").over(W.by_topic()))
     return p.groupBy("topic").agg(*[c.alias(n) for n, c in M.metrics(F.col("value"), F.col("pred")).items()])
 
@@ -442,6 +493,51 @@ def gbt_forecast(r: DataFrame) -> DataFrame:
     return M.report_of_test_rows(W.time_split(W.supervised(r)))
 
 
+@query()
+def forest_forecast(r: DataFrame) -> DataFrame:
+    """Test metrics of random forests for each topic and horizon."""
+    return M.report_of_test_rows(W.time_split(W.supervised(r)), kind="rf")
+
+
+@query()
+def offline_serving(r: DataFrame) -> DataFrame:
+    """Predictions of each topic's newest reading by models that were saved to files, found there and loaded."""
+    folder = new_path(r.sparkSession, "models")
+    M.save_all(W.time_split(W.supervised(r)), folder)
+    newest = W.features(r, full=False).join(r.groupBy("topic").agg(F.max(F.struct("ts", "seq")).alias("_newest")), "topic").where(F.struct("ts", "seq") == F.col("_newest"))
+    return M.serve(newest.drop("_newest"), folder).select("topic", "seq", *[f"pred_H{h}" for h in W.HORIZONS])
+
+
+@query()
+def permutation_importances(r: DataFrame) -> DataFrame:
+    """The features whose permutation costs each topic's model of the next reading most."""
+    return M.importances_by_topic(W.time_split(W.supervised(r)), horizon=1)
+
+
+@query("SELECT CAST(h AS TIMESTAMP) AS hour, coalesce(n, 0) AS n, strftime(h, '%Y-%m-%d %H:%M') AS label, strftime(h + INTERVAL 1 DAY, '%Y-%m-%d') AS next_day FROM (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS h FROM readings) a LEFT JOIN (SELECT date_trunc('hour', ts) AS t, count(*) AS n FROM readings GROUP BY 1) b ON a.h = b.t")
+def hourly_counts(r: DataFrame) -> DataFrame:
+    """Readings in each hour from the first to the last, hours without any too."""
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    ends = r.agg(F.min(hour).alias("a"), F.max(hour).alias("b"))
+    hours = C.hourly_range(ends, F.col("a"), F.col("b"), "hour").select("hour")
+    counts = r.groupBy(hour.alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    found = hours.join(counts, F.col("hour") == F.col("t"), "left")
+    return found.select("hour", F.coalesce("n", F.lit(0)).alias("n"), C.formatted(F.col("hour"), "yyyy-MM-dd HH:mm").alias("label"), C.formatted(C.shifted(F.col("hour"), days=1), "yyyy-MM-dd").alias("next_day"))
+
+
+@query(f"SELECT {HOURLY} AS hour, max(value) FILTER (WHERE topic = 'click') AS sensor_click, max(value) FILTER (WHERE topic = 'error') AS sensor_error, max(value) FILTER (WHERE topic = 'view') AS sensor_view FROM readings GROUP BY 1")
+def frames_by_topic(r: DataFrame) -> DataFrame:
+    """A column for each topic, renamed by a pattern."""
+    h = r.withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return C.renamed_by_regex(C.partitioned_by_values(h, "hour", "topic", "value", ["click", "error", "view"]), "^(?!hour$)", "sensor_")
+
+
+@query("SELECT seq, topic, value AS number FROM readings")
+def json_numbers(r: DataFrame) -> DataFrame:
+    """Values that come as JSON text of a bare number."""
+    return r.select("seq", "topic", C.bare_number(F.to_json(F.struct("value")).substr(F.lit(10), F.length(F.to_json(F.struct("value"))) - 10)).alias("number"))
+
+
 for _name in PANELS:
     QUERIES[f"panel_{_name}"] = lambda spark, sf_dir, _name=_name: panel(spark, sf_dir, _name)
     ORACLE_SQL[f"panel_{_name}"] = panel_sql(_name)

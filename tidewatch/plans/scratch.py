@@ -50,6 +50,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder of any file system that Spark reaches holds; none if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all scratch tables of this application; call it when their results have been written."""
     remove(spark, f"{shared_dir(spark)}/tidewatch-{spark.sparkContext.applicationId}")

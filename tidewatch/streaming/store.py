@@ -53,6 +53,11 @@ def query(spark: SparkSession, text: str, **args) -> DataFrame:
     return spark.sql(text, args=args)
 
 
+def show(df: DataFrame, checkpoint: str, trigger: dict | None = None):
+    """Starts a stream that prints its new rows in full."""
+    return df.writeStream.format("console").outputMode("append").option("truncate", "false").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def start(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Starts a stream into a measurement's folder."""
     return df.writeStream.foreachBatch(upsert(path)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

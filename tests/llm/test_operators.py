@@ -369,6 +369,53 @@ def test_shouting_counts_all_letters():
         assert bool(lexicon.read(text)[0] & bit) == want, text
 
 
+def plain_em(patterns, known, start, rounds=60):
+    """Independent voters in plain Python: patterns is (mask, count), known the labelled rows of (mask, class)."""
+    n = len(toxicity.VOTERS)
+    chance = dict(start)
+    for _ in range(rounds):
+        w = {m: [c * (1 - chance[m]) + known.get((m, 0), 0), c * chance[m] + known.get((m, 1), 0)] for m, c in patterns}
+        total = [sum(x[k] for x in w.values()) for k in (0, 1)]
+        prior = min(max(total[1] / sum(total), 1e-4), 0.6)
+        fires = [[(sum(x[k] for m, x in w.items() if m >> v & 1) + 0.05) / (total[k] + 0.1) for v in range(n)] for k in (0, 1)]
+        new = {}
+        for m, _ in patterns:
+            p = [1 - prior, prior]
+            for k in (0, 1):
+                for v in range(n):
+                    p[k] *= fires[k][v] if m >> v & 1 else 1 - fires[k][v]
+            new[m] = p[1] / sum(p)
+        chance = new
+    return chance
+
+
+def test_label_model_against_plain_python():
+    rng = np.random.default_rng(2)
+    masks = np.unique(rng.integers(0, 2 ** len(toxicity.VOTERS), 40) & rng.integers(0, 2 ** len(toxicity.VOTERS), 40))
+    counts = rng.integers(1, 50, len(masks)).astype(float)
+    known = np.zeros((len(masks), 2))
+    known[rng.integers(0, len(masks), 12), rng.integers(0, 2, 12)] = 5
+    start = rng.uniform(0.05, 0.95, len(masks))
+    model = toxicity._em(masks, counts, known, start, [[v] for v in range(len(toxicity.VOTERS))])
+    want = plain_em(list(zip(masks.tolist(), counts.tolist(), strict=True)), {(int(masks[i]), k): known[i, k] for i, k in zip(*np.nonzero(known), strict=True)}, dict(zip(masks.tolist(), start.tolist(), strict=True)))
+    assert np.allclose(model.posterior(masks), [want[m] for m in masks.tolist()], atol=1e-4)
+
+
+def test_weights_do_not_depend_on_repetition(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["plain", "word", "idiot", "scum", "moron", "talk!!", "LOUD"], 12)) for _ in range(120)]
+    docs = docs_frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    one, ten = toxicity.fit(docs, none), toxicity.fit(docs.crossJoin(spark.range(10).select()), none)
+    a, b = ({r.doc_id: r.predicted for r in m.score(docs).collect()} for m in (one, ten))
+    assert a == b and 0 < sum(a.values()) < 120
+    rows, target, counts = [[0], [1, 2], [2], []], np.array([0.9, 0.2, 0.7, 0.1]), np.array([3.0, 1.0, 2.0, 5.0])
+    each = [i for i, c in enumerate(counts) for _ in range(int(c))]
+    fits = [toxicity.fit_linear(rows, target, counts * k, 3) for k in (1, 10)] + [toxicity.fit_linear([rows[i] for i in each], target[each], np.ones(len(each)), 3)]
+    assert all(np.allclose(f[0], fits[0][0]) and np.isclose(f[1], fits[0][1]) for f in fits)
+    assert toxicity.fit(docs, none, most_fitted=5).score(docs.withColumn("text", F.repeat("text", 3000))).count() == 120
+
+
 # 9
 
 

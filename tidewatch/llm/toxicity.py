@@ -7,8 +7,9 @@
    accuracy. EM runs over the counts of all documents' vote patterns, with the sampled labels as rows of
    known class. Voters whose votes still correlate inside a class are joined into cliques, which have one
    joint table instead of independent chances, and EM runs again.
-4. Classifier: logistic regression over lexicon entries and patterns, fitted to the posteriors of a
-   bounded sample of documents; it scores each text on its own.
+4. Classifier: logistic regression over lexicon entries and patterns, fitted to the posteriors of all
+   documents, grouped by equal votes and features (a bounded number of groups, each with its count); it
+   scores each text on its own.
 
 Labels only reach the model through sampled rows; language, source and id are no inputs of a score.
 """
@@ -227,16 +228,16 @@ def fit_label_model(masks: np.ndarray, counts: np.ndarray, known: np.ndarray, le
     return model
 
 
-def fit_linear(rows: list[list[int]], target: np.ndarray, width: int, l2: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression over sets of features, classes weighing alike, by gradient steps with momentum."""
+def fit_linear(rows: list[list[int]], target: np.ndarray, counts: np.ndarray, width: int, l2: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression over sets of features, each as often as counts says, classes weighing alike, by gradient steps with momentum."""
     w, b = np.zeros(width), 0.0
     if not rows:
         return w, -3.0
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     what = np.array([f for r in rows for f in r], np.int64)
-    share = np.clip(target.mean(), 1e-3, 1 - 1e-3)
-    weight = np.where(target >= 0.5, 0.5 / share, 0.5 / (1 - share))
-    weight /= weight.sum()
+    share = np.clip((target * counts).sum() / counts.sum(), 1e-3, 1 - 1e-3)
+    weight = counts * np.where(target >= 0.5, 0.5 / share, 0.5 / (1 - share))
+    weight = weight / weight.sum()
     vw, vb, step = np.zeros(width), 0.0, 2.0
     for _ in range(rounds):
         z = b + np.bincount(at, w[what], len(rows))
@@ -274,8 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 6_000, most_ent
     """The model for docs (doc_id, text, others ignored) and labels (doc_id, toxic 0/1).
 
     most_labelled: labelled rows of each class that are read; most_entries: learned lexicon entries;
-    most_fitted: documents of either side that the classifier is fitted to, by a hash of their votes and features.
-    Votes of all documents are counted. Without labels the fixed lexicon and patterns remain; without
+    most_fitted: different sets of votes and features of either side that the classifier is fitted to, by a hash of the set, each
+    weighing as many documents as have it. Votes of all documents are counted. Without labels the fixed lexicon and patterns remain; without
     documents every text is scored as clean. Repeated rows count as often as they occur."""
     sample = labelled_sample(docs, labels, most_labelled)
     lexicon = learn_lexicon(sample, most_entries)
@@ -300,9 +301,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 6_000, most_ent
     model = fit_label_model(masks, np.array([patterns.get(m, 0) for m in masks.tolist()], float), known)
     chance = model.posterior(masks)
     marked = [int(m) for m, p in zip(masks, chance, strict=True) if p >= 0.5]
-    order = [F.xxhash64("mask", "features"), "mask"]
-    sides = [every.where(c).orderBy(*order).limit(most_fitted) for c in (F.col("mask").isin(marked), ~F.col("mask").isin(marked))]
-    rows = [(r.mask, list(r.features)) for s in sides for r in s.select("mask", "features").collect()]
-    target = np.array([chance[where[m]] for m, _ in rows])
-    weights, bias = fit_linear([f for _, f in rows], target, lexicon.width)
+    groups = keep(every.groupBy("mask", "features").agg(F.count(F.lit(1)).alias("n")), "groups")
+    sides = [groups.where(c).orderBy(F.xxhash64("features", "mask"), "mask").limit(most_fitted).collect() for c in (F.col("mask").isin(marked), ~F.col("mask").isin(marked))]
+    rows = sides[0] + sides[1]
+    target, counts = np.array([chance[where[r.mask]] for r in rows]), np.array([float(r.n) for r in rows])
+    weights, bias = fit_linear([list(r.features) for r in rows], target, counts, lexicon.width)
     return ToxicityModel(lexicon, model, weights, bias)

@@ -3,8 +3,8 @@
 Base kinds are reported wherever they match. Weak candidates (identifiers, keys, endpoints) are reported
 only when complementary parts lie within ``within`` code points in the same scope, a part of the text
 without an empty line: an identifier near a secret, a key near an identifier, an endpoint near both.
-The interval join asks for each candidate's nearest complement before and after it with windows over a
-scope's spans, so no pairs are made however many candidates a scope has.
+The interval join asks for each candidate's nearest complement before and after it, none that it overlaps, with
+windows over the ends of a scope's spans, so no pairs are made however many candidates a scope has.
 
 Spans are sums of the lengths that a pattern's split and its matches have in turn; only lengths leave
 the scan. Only DataFrame functions are used.
@@ -67,7 +67,8 @@ def scan(docs: DataFrame, within: int = 200, text: str = "text", doc_id: str = "
     """One row for each row of docs: doc_id and spans, an array of (start, rank, kind, end) ordered by start and kind.
 
     Offsets are code points, end exclusive. Null texts are empty; repeated rows and ids each get a row; other
-    columns are ignored. A weak candidate that overlaps a base span is not reported again."""
+    columns are ignored. A weak candidate that overlaps a base span is not reported again; a key that overlaps an id's
+    span is part of it."""
     t = F.coalesce(F.col(text), F.lit(""))
     scanned = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), t.alias("text"))
     scanned = scanned.select("row", "doc_id", "text", *[_lengths(F.col("text"), k).alias(k.name) for k in (*BASE, *WEAK)])
@@ -88,14 +89,27 @@ def scan(docs: DataFrame, within: int = 200, text: str = "text", doc_id: str = "
     before, after = near.rowsBetween(Window.unboundedPreceding, -1), near.rowsBetween(1, Window.unboundedFollowing)
     base = F.col("rank") < len(BASE)
 
-    def close(role: str) -> Column:
-        is_role = F.col("ok") & (F.col("role") == role)
-        last, first = F.max(F.when(is_role, F.col("end"))).over(before), F.min(F.when(is_role, F.col("start"))).over(after)
-        return F.coalesce(F.col("start") - last <= within, F.lit(False)) | F.coalesce(first - F.col("end") <= within, F.lit(False))
-
-    overlaps = F.coalesce(F.max(F.when(F.col("ok") & base, F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(F.col("ok") & base, F.col("start"))).over(after) < F.col("end"), F.lit(False))
-    spans = spans.withColumns({"by_identifier": close("identifier"), "by_secret": close("secret"), "overlaps": overlaps})
-    linked = F.when(base, True).when(F.col("overlaps"), False).when(F.col("kind") == "id", F.col("by_secret")).when(F.col("kind") == "key", F.col("by_identifier")).when(F.col("kind") == "endpoint", F.col("by_identifier") & F.col("by_secret")).otherwise(False)
+    def overlaps(among: Column) -> Column:
+        last, first = F.max(F.when(F.col("ok") & among, F.col("end"))).over(before), F.min(F.when(F.col("ok") & among, F.col("start"))).over(after)
+        return F.coalesce(last > F.col("start"), F.lit(False)) | F.coalesce(first < F.col("end"), F.lit(False))
+
+    # A weak span inside a base one is reported already, and a key that is an identifier's value is no secret beside it.
+    part = spans.withColumns({"_base": overlaps(base), "_value": overlaps(F.col("kind") == "id")})
+    part = part.withColumn("ok", F.col("ok") & (base | ~(F.col("_base") | ((F.col("kind") == "key") & F.col("_value")))))
+    # Each span's two ends in order of place: what ends at or before its start, and what starts at or after its end, is beside it.
+    ends = part.withColumn("e", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("side")), F.struct(F.col("end").alias("at"), F.lit(0).alias("side")))))
+    ends = ends.select("row", "doc_id", "rank", "kind", "role", "ok", "start", "end", "scope", "e.at", "e.side")
+    in_order = Window.partitionBy("row", "scope").orderBy("at", "side")
+    gone, ahead = in_order.rowsBetween(Window.unboundedPreceding, -1), in_order.rowsBetween(1, Window.unboundedFollowing)
+
+    def beside(role: str) -> Column:
+        of = lambda side: F.when(F.col("ok") & (F.col("role") == role) & (F.col("side") == side), F.col("at"))
+        last, first = F.max(of(0)).over(gone), F.min(of(1)).over(ahead)
+        return F.coalesce(F.when(F.col("side") == 1, F.col("at") - last <= within).otherwise(first - F.col("at") <= within), F.lit(False))
+
+    ends = ends.withColumns({"by_identifier": beside("identifier"), "by_secret": beside("secret")})
+    spans = ends.groupBy("row", "rank", "start", "end", "kind").agg(F.first("doc_id").alias("doc_id"), F.first("ok").alias("ok"), F.max("by_identifier").alias("by_identifier"), F.max("by_secret").alias("by_secret"))
+    linked = F.when(base, True).when(F.col("kind") == "id", F.col("by_secret")).when(F.col("kind") == "key", F.col("by_identifier")).when(F.col("kind") == "endpoint", F.col("by_identifier") & F.col("by_secret")).otherwise(False)
     span = F.when(F.col("ok") & linked, F.struct("start", "rank", "kind", "end"))
     found = spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(span)).alias("spans"))
     return empty.unionByName(found.select("doc_id", "spans"))

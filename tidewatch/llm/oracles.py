@@ -68,7 +68,7 @@ r AS (SELECT *, CASE
   WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
   WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM h)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host, '(^|\.)(ads?|track(er|ing)?|banner|click)[-.]') THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+  WHEN regexp_matches(host, '(^|\.)(ads?|track(er|ing)?|banner|click)[-.]') OR md5(host) < '2' OR md5(host || path) < '2' THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_revisits": WARC,

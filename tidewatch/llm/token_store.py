@@ -42,6 +42,11 @@ CHECKSUMS = 0x80
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 MANIFEST = "first_id long, path string, n_docs long, n_tokens long, n_bytes long"
 _PUNCTUATION = b".,!;:?"
+#: Texts whose ids show whether a tokenizer encodes words apart: white space of all kinds, marks, capitals, accents, digits, joins.
+PROBES = (
+    "", " ", "  two  spaces\tand\nlines \r\n", "Hello, World! it's DON'T stop.", "ÉTÉ naïve straße İstanbul e\u0301té ﬁ ſ ŉ", "a.b.c! ... 9'99 3.14 1,000 _a_ x-y", "中文。 日本語 한국어 русский ελληνικά",
+    "\u3000wide\u00a0space\x1c\x85", "emoji 😀👍🏽 (brackets) [x] {y} <z>", "the the The THE thE", "aaaaaaaaaaaaaaaaaaaaaaaa " * 3,
+)
 
 
 class WordIds(dict):
@@ -95,6 +100,8 @@ def plain_letters(library) -> dict[int, str]:
     """Letters below U+0180 that the normaliser leaves as they are, by code point, in the form that the
     pre-tokenizer gives them. Holds no others, so a tokenizer without such letters gets an empty table."""
     normal, parts = library.normalizer, library.pre_tokenizer
+    if normal is None or parts is None:
+        return {}
     letters = [c for c in map(chr, range(0x180)) if c.isalpha() and normal.normalize_str(c) == c]
     forms = {c: parts.pre_tokenize_str(c) for c in letters}
     return {ord(c): f[0][0] for c, f in forms.items() if len(f) == 1}
@@ -103,9 +110,10 @@ def plain_letters(library) -> dict[int, str]:
 class WordTokenizer:
     """Encodes whole texts with a tokenizers file, each distinct word once.
 
-    Holds for tokenizers that normalise character by character and drop white space before merging,
-    as then a text's ids are its words' ids in turn, and that keep runs of letters together; texts with the special tokens' bracket are
-    encoded as they are. Texts go one by one, so that a text's words stay in the CPU's caches.
+    That is right for tokenizers that normalise character by character, drop white space before merging and keep runs of
+    letters together, as then a text's ids are its words' ids in turn. Whether a file is of that kind is checked with PROBES
+    when it is loaded; others encode whole texts, as do texts with the special tokens' bracket. Texts go one by one, so that
+    a text's words stay in the CPU's caches.
     """
 
     def __init__(self, path: str, most_words: int = 300_000, most_stems: int = 500_000):
@@ -114,10 +122,13 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.words = WordIds(self.library, most_words, most_stems)
+        self.by_words = all(b"".join(map(self.words.__getitem__, t.encode().split())) == encoded(self.library, t) for t in PROBES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text the bytes of its ids."""
         ids = self.words.__getitem__
+        if not self.by_words:
+            return [encoded(self.library, t) for t in texts]
         return [encoded(self.library, t) if "<|" in t else b"".join(map(ids, t.encode().split())) for t in texts]
 
 
@@ -197,9 +208,11 @@ def write_documents(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     """Encodes docs (doc_id, text), writes files under path and returns their manifest.
 
     Null texts are empty and get the end id alone; rows with null or repeated ids are all written, nulls
-    first, repeats ordered by text; an empty table gives an empty manifest; other columns are ignored."""
+    first, repeats ordered by a hash of the text, so that they may fill several files; an empty table gives an empty manifest; other columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(files, "doc_id") if files else rows.repartitionByRange("doc_id")
+    rows = rows.withColumn("place", F.xxhash64("text"))
+    order = ["doc_id", "place"]
+    rows = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,13 +223,13 @@ def write_documents(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
                 ids = part.column("doc_id").to_pylist()
                 for i, x in zip(ids, encoder.encode(part.column("text").to_pylist()), strict=True):
                     if out is None:
-                        first = "null" if i is None else f"{i + 2**63:020d}"
+                        first = f"{'null' if i is None else f'{i + 2**63:020d}'}-{part.column('place')[0].as_py() + 2**63:020d}"
                         out = ShardWriter(f"{path}/tokens-{first}.zst")
                     out.add(i, x + end)
         if out is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x]) if k else pa.array([x], pa.int64()) for k, x in enumerate(out.close())], names=["first_id", "path", "n_docs", "n_tokens", "n_bytes"])
 
-    return keep(map_batches(rows.sortWithinPartitions("doc_id", "text"), write, MANIFEST), "manifest")
+    return keep(map_batches(rows.sortWithinPartitions(*order), write, MANIFEST), "manifest")
 
 
 def as_list(ids: bytes) -> list[int]:
@@ -229,7 +242,7 @@ def read_documents(manifest: DataFrame, value: Callable[[bytes], object] = as_li
     value: what to make of a document's ids, by default the list of them, of the type kind."""
     spark = manifest.sparkSession
     kind = kind or T.ArrayType(T.LongType())
-    ahead = Window.partitionBy(F.lit(0)).orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    ahead = Window.partitionBy(F.lit(0)).orderBy(F.col("first_id").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     files = manifest.select("path", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)).alias("ahead"))
     files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField(name, kind)])

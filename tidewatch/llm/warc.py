@@ -5,9 +5,9 @@ same canonical URL before it, by (time, record id). If both name an ETag, these
 comparison; else if both name Last-Modified, the revisit's must not be later. The resolved record has the
 response's body and headers, updated by the revisit's, except for those that a 304 must not change.
 
-One URL may hold a third of all records. So records are dealt out by URL and cell of time: inside a
-cell a window finds the latest response; what earlier cells have last comes from one row a cell. Cells
-are many enough that a hot URL's records spread evenly over tasks.
+One URL may hold a third of all records. So records are dealt out by sorted ranges of (URL, time, record
+id), of about equal numbers of rows whatever the times are: inside a range a window finds the latest
+response; what a URL has last in earlier ranges comes from one row for each URL and range.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import keep
 from .common import partitions
 
 # Headers that describe a stored body or one connection; a 304 does not replace them.
@@ -67,22 +68,22 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     seen = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("time").cast("timestamp").alias("time"), F.col("status").alias("_status"), lower_keys(F.col("headers")).alias("headers"))
     usable = F.col("canonical_url").isNotNull() & F.col("time").isNotNull()
     seen = seen.where(((F.col("_status") == 200) & usable) | (F.col("_status") == 304))
-    low, high, = seen.agg(F.min(F.unix_micros("time")), F.max(F.unix_micros("time"))).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // (8 * partitions(records))))
-    cell = F.when(usable, F.floor((F.unix_micros("time") - F.lit(low or 0)) / width)).otherwise(F.lit(-1))
-    spread = F.when(usable, F.lit(0)).otherwise(F.pmod(F.xxhash64("record_id", "time", "canonical_url"), F.lit(8 * partitions(records))))
+    rest = F.when(usable, F.lit(0)).otherwise(F.xxhash64("record_id", "time", "canonical_url"))
     key = F.struct(F.col("time"), F.col("record_id"))
     response = F.when(F.col("_status") == 200, F.struct("time", "record_id", "headers"))
-    seen = seen.withColumns({"_cell": cell, "_spread": spread, "_key": key, "_response": response})
-    place = ["canonical_url", "_cell", "_spread"]
+    seen = seen.withColumns({"_usable": usable, "_rest": rest, "_key": key, "_response": response})
+    dealt = seen.repartitionByRange(4 * partitions(records), "_usable", "_rest", "canonical_url", "time", "record_id")
+    seen = keep(dealt.withColumn("_cell", F.spark_partition_id()), "captures")  # written, so that a range stays what it is
+    usable = F.col("_usable")
+    place = ["canonical_url", "_cell"]
     inside = Window.partitionBy(*place).orderBy("_key", F.col("_status").desc()).rowsBetween(Window.unboundedPreceding, -1)
     found = seen.withColumn("_near", F.last("_response", ignorenulls=True).over(inside)).where("_status = 304")
-    ends = seen.where("_status = 200").groupBy(*place).agg(F.max_by("_response", "_key").alias("_last"))
-    asked = found.where("_near is null").select(*place).distinct().withColumn("_last", F.lit(None).cast(ends.schema["_last"].dataType))
+    ends = seen.where(usable & (F.col("_status") == 200)).groupBy(*place).agg(F.max_by("_response", "_key").alias("_last"))
+    asked = found.where(usable & F.col("_near").isNull()).select(*place).distinct().withColumn("_last", F.lit(None).cast(ends.schema["_last"].dataType))
     # One row a cell: what a cell's revisits find is the last response of the cells before it.
     cells = ends.unionByName(asked).groupBy(*place).agg(F.first("_last", ignorenulls=True).alias("_last"))
     ahead = Window.partitionBy("canonical_url").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.where("_cell >= 0").withColumn("_before", F.last("_last", ignorenulls=True).over(ahead)).where("_before is not null").select(*place, "_before")
+    cells = cells.where("canonical_url is not null").withColumn("_before", F.last("_last", ignorenulls=True).over(ahead)).where("_before is not null").select(*place, "_before")
     rows = found.join(cells, place, "left").withColumn("_from", F.when(usable, F.coalesce("_near", "_before")))
     old, new = F.col("_from.headers"), F.col("headers")
     etags = (_weak(old["etag"]), _weak(new["etag"]))

@@ -3,12 +3,16 @@
 Sources' targets are shares of all sizes by weight, stopped at ``most`` times the source's size, the
 excess reshared by weight until none is above. Within a source every document expects
 ``rate = target / source_size`` copies; with their prefix sum P and one random offset u, a document is
-emitted once for each integer in (P_before + u, P + u]. Documents are ordered by (size, id), so what a
-source gives differs from its target by about one document's size.
+emitted once for each integer in (P_before + u, P + u]. Documents are ordered by size, then by a hash of
+id and text, so what a source gives differs from its target by about one document's size.
 
 All expected copies in a source are equal, so the prefix sum is rate times an exact rank. A rank within
-a source that may hold a third of all rows is summed in three levels: sizes in a source, cells of ids
-in a size, rows in a cell. No task gets more than a cell's rows or a level's totals.
+a source that may hold a third of all rows is summed in three levels: sizes in a source, cells of the
+hash in a size, rows in a cell. The hash is uniform, so cells are even whatever the ids are; only rows
+that agree in id and text share a place. No task gets more than a cell's rows or a level's totals.
+
+Sources are taken to be few: their totals, a row of some 50 bytes each, are ranked by one task, which a
+million of them do not strain. Nothing else grows with their number.
 
 Only DataFrame functions are used.
 """
@@ -31,6 +35,12 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def place_of(doc_id: Column, text: Column) -> Column:
+    """A place in [0, 16 ** 15) by a hash of id and text; nulls read as empty."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
 def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """totals (source, source_size) with weight, target and rate.
 
@@ -58,16 +68,14 @@ def offset_of(source: Column, seed: int) -> Column:
 
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0, narrow: DataFrame | None = None) -> DataFrame:
-    """rows with _copies, _source_size and _target; rows need doc_id, source, _size and _tie.
+    """rows with _copies, _source_size and _target; rows need source, _size and _tie, a place_of.
 
     narrow: the same rows without wide columns, from which totals are taken (rows itself by default).
-    Ties of (size, id) are ordered by _tie; equal rows share their copies in any order. Null ids come
-    first; a null source is a source of its own; sources without words take nothing."""
+    Rows of equal size and place share their copies in any order; a null source is a source of its own;
+    sources without words take nothing."""
     n = narrow if narrow is not None else rows
-    low, high, count = n.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    cells = max(4 * partitions(rows), -(-count // CELL_ROWS))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // cells))
-    cell = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width), F.lit(-1)).alias("_cell")
+    cells = max(4 * partitions(rows), -(-n.count() // CELL_ROWS))
+    cell = F.floor(F.col("_tie") / (16**15 // cells + 1)).alias("_cell")
     by_cell = n.groupBy("source", "_size", cell).agg(F.count(F.lit(1)).alias("_n"))
     before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells_in_size = by_cell.withColumn("_in_size", before(Window.partitionBy("source", "_size").orderBy("_cell")))
@@ -82,7 +90,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
     starts = joined(joined(cells_in_size, by_size, ["source", "_size"]), totals, ["source"])
     starts = starts.select("source", "_size", "_cell", (F.col("_in_size") + F.col("_in_source")).alias("_start"), "_source_size", "_target", "_rate")
-    ranked = rows.withColumn("_cell", cell).withColumn("_k", F.row_number().over(Window.partitionBy("source", "_size", "_cell").orderBy("doc_id", "_tie")))
+    ranked = rows.withColumn("_cell", cell).withColumn("_k", F.row_number().over(Window.partitionBy("source", "_size", "_cell").orderBy("_tie")))
     ranked = joined(ranked, starts, ["source", "_size", "_cell"])
     rank, u = F.col("_start") + F.col("_k"), offset_of(F.col("source"), seed)
     copies = F.floor(F.col("_rate") * rank + u) - F.floor(F.col("_rate") * (rank - 1) + u)
@@ -94,6 +102,6 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
 
     Columns named like the operator's own (leading underscore) are dropped."""
     own = [c for c in docs.columns if c not in ("_size", "_tie", "_copies", "_source_size", "_target", "_rate", "_cell", "_k", "_start")]
-    sized = docs.select(*own, size_of(F.col("text")).alias("_size"), F.xxhash64("text").alias("_tie"))
-    taken = mix(sized, weights, most, seed, narrow=sized.select("doc_id", "source", "_size", "_tie"))
+    sized = docs.select(*own, size_of(F.col("text")).alias("_size"), place_of(F.col("doc_id"), F.col("text")).alias("_tie"))
+    taken = mix(sized, weights, most, seed, narrow=sized.select("source", "_size", "_tie"))
     return taken.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*own)

@@ -53,6 +53,48 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_revisits_by_brute_force(spark):
+    """A hot URL, one very early record, ties of time, all states, repeated rows: against a search over all records."""
+    rng = np.random.default_rng(7)
+    times = ["1970-01-01 00:00:00", *(f"2024-01-01 00:00:{int(s):02d}" for s in range(0, 12))]
+    dates = ["Tue, 02 Jan 2024 00:00:00 GMT", "Wed, 03 Jan 2024 00:00:00 GMT", "no date"]
+    rows = []
+    for i in range(600):
+        h = {}
+        if rng.random() < 0.5:
+            h["ETag"] = rng.choice(['"a"', 'W/"a"', '"b"'])
+        if rng.random() < 0.5:
+            h["last-modified"] = rng.choice(dates)
+        rows.append((None if rng.random() < 0.02 else i // 2 if rng.random() < 0.1 else i, rng.choice(["http://hot.com/a", "https://www.hot.com/a/", "http://b.com"], p=[0.5, 0.4, 0.1]) if rng.random() > 0.02 else None, rng.choice(times) if rng.random() > 0.02 else None, int(rng.choice([200, 304, 404])), {k: str(v) for k, v in h.items()}, None))
+    frame = spark.createDataFrame([(i, str(u) if u is not None else None, str(t) if t is not None else None, s, h, b) for i, u, t, s, h, b in rows], "record_id long, url string, time string, status int, headers map<string,string>, body string")
+    low = lambda i: (i is not None, i or 0)
+    canon = lambda u: None if u is None else "hot.com/a" if "hot" in u else "b.com"
+    weak = lambda h: h.get("ETag", "").removeprefix("W/") or None
+    day = lambda h: dates.index(h["last-modified"]) if h.get("last-modified") in dates[:2] else None
+    want = []
+    for i, u, t, s, h, _ in rows:
+        if s != 304:
+            continue
+        olds = [] if u is None or t is None else [r for r in rows if r[3] == 200 and r[1] is not None and r[2] is not None and canon(r[1]) == canon(u) and (r[2], low(r[0])) < (t, low(i))]
+        if not olds:
+            want.append((i, "no_response", None))
+            continue
+        best = max((r[2], low(r[0])) for r in olds)
+        states = set()
+        for r in olds:
+            if (r[2], low(r[0])) == best:
+                a, b, x, y = weak(r[4]), weak(h), day(r[4]), day(h)
+                states.add(("resolved" if a == b else "etag_mismatch") if a and b else "modified_later" if x is not None and y is not None and y > x else "resolved")
+        want.append((i, states, best[1][1] if best[1][0] else None))
+    got = warc.resolve_revisits(frame).collect()
+    assert len(got) == len(want) and {r.state for r in got} == {"resolved", "etag_mismatch", "modified_later", "no_response"}
+    by = {}
+    for i, states, source in want:
+        by.setdefault(i, []).append((states, source))
+    for r in got:
+        assert any((r.state == s or r.state in s) and r.source_id == source for s, source in by[r.record_id]), r
+
+
 # 2
 
 ITEMS = [(1, "One two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "short item"), (3, None), (4, ""), (None, "null id item")]
@@ -113,7 +155,7 @@ def test_mixing(spark):
     rows = [(i, "w " * int(n), s) for i, (n, s) in enumerate(zip(rng.integers(0, 60, 400), rng.choice(["a", "b", "Z", "ß"], 400, p=[0.7, 0.2, 0.05, 0.05]), strict=True))]
     rows += [(500, None, "a"), (501, "x y", None), (502, "", "empty"), (None, "x", "b"), (7, "w " * 9, "a"), (7, "w " * 9, "a")]
     docs = docs_frame(spark, rows)
-    sized = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("_size"), F.xxhash64("text").alias("_tie"))
+    sized = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("_size"), mixing.place_of(F.col("doc_id"), F.col("text")).alias("_tie"))
     got = mixing.mix(sized).collect()
     assert len(got) == len(rows)
     sizes = {}
@@ -169,6 +211,25 @@ def test_token_files(spark):
     assert empty.count() == 0 and token_store.read_documents(empty).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path = str(tmp_path / "t.json")
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, " ": 2, "ab": 3, "b ": 4}, [("b", " ")]))
+    t.save(path)
+    words = token_store.WordTokenizer(path)
+    assert not words.by_words and words.encode(["ab ab"]) == [token_store.encoded(words.library, "ab ab")]
+    assert token_store.WordTokenizer(tokenizer_path()).by_words
+
+
+def test_repeated_ids_fill_several_files(spark):
+    docs = docs_frame(spark, [(7, f"text {i}", "s") for i in range(300)])
+    manifest = token_store.write_documents(docs, new_path(spark, "t"), tokenizer_path(), files=3)
+    assert manifest.count() == 3
+    got = sorted(token_store.read_documents(manifest).collect(), key=lambda r: r.start)
+    assert len(got) == 300 and [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(300)]
+
+
 def test_words_have_the_library_s_ids():
     words = token_store.WordTokenizer(tokenizer_path(), most_words=5, most_stems=3)
     alphabet = [chr(c) for c in range(33, 0x250)]
@@ -501,7 +562,22 @@ def test_judge(spark):
 # 10
 
 
+def plain_table(names, size):
+    """The table by its rule: each shard has a list of all slots in its order; in turn, each takes the first that is free."""
+    number = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+    wants = [[(number(f"offset:{n}") % size + j * (number(f"skip:{n}") % (size - 1) + 1)) % size for j in range(size)] for n in names]
+    owner = {}
+    while len(owner) < size:
+        for i, w in enumerate(wants):
+            free = next((s for s in w if s not in owner), None)
+            if free is not None:
+                owner[free] = i
+    return [owner[s] for s in range(size)]
+
+
 def test_sharding(spark):
+    for names, size in ((["a"], 7), (["a", "b", "c"], 31), ([f"n{i}" for i in range(10)], 101)):
+        assert sharding.lookup_table(names, size) == plain_table(names, size)
     names = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(names, 1009)
     count = np.bincount(table)

@@ -9,14 +9,13 @@ from pyspark.sql import types as T
 
 from ..plans.scratch import new_path
 from . import bloom_cascade, decontaminate, embedding_dedup, minhash_forest, mixing, secret_scan, sharding, token_store, toxicity, warc
-from .oracles import ORACLE_SQL
+from .oracles import ORACLE_SQL, SHARDS
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 LISTED_HOST = r"(^|\.)(ads?|track(er|ing)?|banner|click)[-.]"
 FOREIGN = 50_000
-SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +54,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.scratch import keep
 
     docs = table(spark, sf_dir, "documents")
-    sized = keep(docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("_size"), F.xxhash64("text").alias("_tie")), "sized")
+    sized = keep(docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("_size"), mixing.place_of(F.col("doc_id"), F.col("text")).alias("_tie")), "sized")
     mixed = mixing.mix(sized)
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
@@ -101,7 +100,7 @@ def op9_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", list(SHARDS))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

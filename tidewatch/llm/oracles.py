@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bloom_cascade import LOWER, UPPER
 from .mixing import MOST, WEIGHTS, WORDS
+from .sharding import lookup_table
 from .warc import KEPT_HEADERS, TRACKING
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,7 +46,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 MIXING = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS size, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS place FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
 w AS (SELECT *, list_extract([{", ".join(map(str, WEIGHTS))}], CAST((rank - 1) % {len(WEIGHTS)} AS BIGINT) + 1) AS weight, source_size * {MOST} AS cap FROM r),
@@ -53,7 +54,7 @@ l AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDE
   / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, CASE WHEN cap <= top * weight THEN cap::DOUBLE ELSE top * weight END AS target FROM (SELECT *, max(level) OVER () AS top FROM l)),
 k AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS k,
+  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.place) AS k,
   CAST('0x' || substr(md5('0:' || coalesce('s' || d.source, 'n')), 1, 4) AS BIGINT) / 65536.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST((floor(rate * k + u) - floor(rate * (k - 1) + u)) * size AS BIGINT) AS taken FROM k"""
@@ -70,9 +71,20 @@ r AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN regexp_matches(host, '(^|\.)(ads?|track(er|ing)?|banner|click)[-.]') OR md5(host) < '2' OR md5(host || path) < '2' THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
+SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
+
+
+def _sharding(size: int = 65_537) -> str:
+    """Slots by md5, looked up in the filled table, which stands in the query."""
+    table = ", ".join(map(str, lookup_table(list(SHARDS), size)))
+    slot = f"CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {size}"
+    return f"WITH t AS (SELECT [{table}] AS filled) SELECT doc_id, {slot} AS slot, printf('shard-%03d', list_extract(filled, {slot} + 1)) AS shard FROM documents, t"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_revisits": WARC,
     "op2_decontamination": DECONTAMINATION,
     "op3_mixing": MIXING,
     "op9_bloom_cascade": CASCADE,
+    "op10_sharding": _sharding(),
 }

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.scratch import keep
-from .common import append_columns, map_batches, unused
+from .common import append_columns, map_batches, unused, worker_cache
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after A-Z are lower-cased
 _UPPER = bytes(range(0x41, 0x5B))
@@ -122,7 +122,7 @@ class Scanner:
         return out
 
 
-@functools.lru_cache(maxsize=1)
+@worker_cache("benchmark")
 def _scanner(uid: str, broadcast) -> Scanner:
     return Scanner(broadcast.value)
 
@@ -193,7 +193,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                 rows.append((len(w), *described(t, len(w), scanner.runs(w))))
             return _columns(rows, per)
 
-        return append_columns(docs, OUTPUT, fn)
+        return append_columns(docs, OUTPUT, fn, "benchmark")
 
     drop = [f.name for f in OUTPUT if f.name in docs.columns and f.name != text]
     row, runs = unused(docs, "_row", "_runs")
@@ -210,7 +210,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                 cols = zip(*out, strict=True) if out else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["row", "a", "b", "id"])
 
-        found.append(keep(map_batches(own, hits, "row string, a long, b long, id string"), "runs"))
+        found.append(keep(map_batches(own, hits, "row string, a long, b long, id string", "benchmark"), "runs"))
         shared.unpersist()
     every = functools.reduce(DataFrame.unionByName, found).distinct().groupBy("row").agg(F.collect_list(F.struct("a", "b", "id")).alias(runs)).withColumnRenamed("row", f"{row}_r")
 

@@ -17,7 +17,6 @@ that the sample does not show gives rows in proportion to its vectors, too.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import keep, new_path
 from ..plans.shipping import ship
-from .common import map_batches
+from .common import map_batches, worker_cache
 from .components import components
 from .hnsw import Graph, links_of
 from .token_store import open_fs
@@ -176,7 +175,7 @@ def _build(rows: DataFrame, folder: str) -> DataFrame:
     return rows.groupBy("label", "dim", "shard").applyInPandas(fn, "label string, dim int, shard int, blocks int, path string")
 
 
-@lru_cache(maxsize=1)
+@worker_cache("graph")
 def _load(path: str) -> tuple[Graph, np.ndarray]:
     f, where = open_fs(path)
     with f.open_input_stream(where) as s:

@@ -19,7 +19,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.scratch import keep
-from .common import map_batches
+from .common import map_batches, worker_cache
 
 # Fixed values of the public seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -132,7 +131,7 @@ class WordTokenizer:
         return [encoded(self.library, t) if "<|" in t else b"".join(map(ids, t.encode().split())) for t in texts]
 
 
-@lru_cache(maxsize=2)
+@worker_cache("tokens")
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
@@ -229,7 +228,7 @@ def write_documents(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
         if out is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x]) if k else pa.array([x], pa.int64()) for k, x in enumerate(out.close())], names=["first_id", "path", "n_docs", "n_tokens", "n_bytes"])
 
-    return keep(map_batches(rows.sortWithinPartitions(*order), write, MANIFEST), "manifest")
+    return keep(map_batches(rows.sortWithinPartitions(*order), write, MANIFEST, "tokens"), "manifest")
 
 
 def as_list(ids: bytes) -> list[int]:

@@ -36,3 +36,19 @@ def test_one_row_of_each_group(spark):
     assert got.columns == corpus_pipeline.COLUMNS
     want = [(1, b), (1, c), (None, "alone in all of these few rows"), (7, ""), (8, None)]
     assert sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, want))
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, repeated rows, a long text, columns of other names: rows in, whole rows out; and an empty table."""
+    rows = [(1, "plain words of one document here", "en", "a", 3), (1, "plain words of one document here", "en", "a", 3), (None, None, None, None, None), (None, "", "en", None, 0), (4, "you idiot moron scum", "en", "b", 1), (5, "long " * 60_000, "en", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = docs.withColumns({c: F.lit(1) for c in ("_row", "component_id", "kept", "score", "n_hit", "_size", "_runs", "place")})
+    plain = {str(tuple(r)) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, SF)
+        assert got.columns == corpus_pipeline.COLUMNS and {str(tuple(r)) for r in got.collect()} <= plain, name
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), SF).count() == 0
+    kept = {r.doc_id for r in corpus_pipeline.without_toxic(spark, odd, SF).collect()}
+    assert kept == {1, None, 5}

@@ -1,7 +1,9 @@
 """A training corpus from documents: five stages, each over all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and read again before the
-next. All but the last return the columns of documents.
+next. All but the last return the columns of documents and no others; an empty table gives an empty one.
+Rows are what stages decide on: repeated rows and rows with null ids are rows like others, unless a stage
+says otherwise, and no stage changes a row.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject. Null and empty texts have no marks and stay; a null id is never labelled."""
     docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return model.score(docs).where("predicted = 0").select(*COLUMNS)
@@ -33,18 +35,20 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too little of the benchmark to count as contaminated."""
+    """Documents that hold too little of the benchmark to count as contaminated. Null and empty texts hold nothing and stay."""
     marked = decontaminate.mark_contamination(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return marked.where("not contaminated").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, three times at most. A null source is a source of its own; a source
+    without any words gives nothing, rows without words in other sources are taken as often as those with."""
     return mixing.mix_documents(docs.select(*COLUMNS))
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the token files hold of each document: doc_id, start, n_tokens and ids_crc32."""
+    """What the token files hold of each document: doc_id, start, n_tokens and ids_crc32. A null text is empty and gives the end
+    id alone; null ids come first, and every row of a repeated id gives a row."""
     import public_tokenizers
 
     manifest = token_store.write_documents(docs, new_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))

@@ -41,6 +41,7 @@ CHECKSUMS = 0x80
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 MANIFEST = "first_id long, path string, n_docs long, n_tokens long, n_bytes long"
 _PUNCTUATION = b".,!;:?"
+_OTHER = "\0"
 #: Texts whose ids show whether a tokenizer encodes words apart: white space of all kinds, marks, capitals, accents, digits, joins.
 PROBES = (
     "", " ", "  two  spaces\tand\nlines \r\n", "Hello, World! it's DON'T stop.", "ÉTÉ naïve straße İstanbul e\u0301té ﬁ ſ ŉ", "a.b.c! ... 9'99 3.14 1,000 _a_ x-y", "中文。 日本語 한국어 русский ελληνικά",
@@ -49,61 +50,57 @@ PROBES = (
 
 
 class WordIds(dict):
-    """Bytes of the ids of each word, kept for up to fixed numbers of words and of their stems."""
+    """Bytes of the ids of each word, kept for up to fixed numbers of words and of their stems.
+
+    A stem is a run of plain letters, folded as the tokenizer folds them, and may have a final mark; other words go whole to the library."""
 
     def __init__(self, library, most_words: int, most_stems: int):
         self.library, self.most_words, self.most_stems = library, most_words, most_stems
-        self.model, self.letters = library.model, plain_letters(library)
-        self.stems: dict[bytes, bytes] = {}
+        self.tokenize, self.letters = library.model.tokenize, PlainLetters(library)
+        self.stems: dict[str, bytes] = {}
+        self.marks = {bytes([m]): encoded(library, chr(m)) for m in _PUNCTUATION}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most_words:
             self.clear()
-        stem, mark = self._parts(word)
-        ids = self[word] = self._stem(stem) + self._stem(mark) if mark else self._stem(stem)
-        return ids
-
-    def _stem(self, stem: bytes) -> bytes:
+        stem, mark = word.decode().translate(self.letters), b""
+        if _OTHER in stem:
+            mark = self.marks.get(word[-1:])
+            if mark is None or stem.find(_OTHER) != len(stem) - 1 or len(stem) == 1:
+                ids = self[word] = encoded(self.library, word.decode())
+                return ids
+            stem = stem[:-1]
         ids = self.stems.get(stem)
         if ids is None:
             if len(self.stems) >= self.most_stems:
                 self.stems.clear()
-            ids = self.stems[stem] = self._encoded(stem.decode())
+            tokens = [t.id for t in self.tokenize(stem)]
+            ids = self.stems[stem] = struct.pack(f"<{len(tokens)}I", *tokens)
+        ids = self[word] = ids + mark if mark else ids
         return ids
 
-    def _encoded(self, stem: str) -> bytes:
-        """Ids of a stem; those of plain letters go straight to the model."""
-        if not all(map(self.letters.__contains__, map(ord, stem))):
-            return encoded(self.library, stem)
-        tokens = self.model.tokenize(stem.translate(self.letters))
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        """Lower-cased stem and final mark, where the tokenizer parts and folds them in the same way."""
-        mark = word[-1:] if len(word) > 1 and word[-1:] in _PUNCTUATION else b""
-        stem = word[: len(word) - len(mark)]
-        if stem.isascii():
-            return (stem.lower(), mark) if stem.isalpha() else (word, b"")
-        s = stem.decode()
-        if s.isalpha() and max(s) < "ƀ" and "İ" not in s:
-            return s.lower().encode(), mark
-        return word, b""
-
 
 def encoded(library, text: str) -> bytes:
     return np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def plain_letters(library) -> dict[int, str]:
-    """Letters below U+0180 that the normaliser leaves as they are, by code point, in the form that the
-    pre-tokenizer gives them. Holds no others, so a tokenizer without such letters gets an empty table."""
-    normal, parts = library.normalizer, library.pre_tokenizer
-    if normal is None or parts is None:
-        return {}
-    letters = [c for c in map(chr, range(0x180)) if c.isalpha() and normal.normalize_str(c) == c]
-    forms = {c: parts.pre_tokenize_str(c) for c in letters}
-    return {ord(c): f[0][0] for c, f in forms.items() if len(f) == 1}
+class PlainLetters(dict):
+    """For str.translate: letters below U+0180, by code point, in the form that normaliser and pre-tokenizer give them, if each
+    is one letter on its own; all else is _OTHER. A tokenizer without such letters gets an empty table."""
+
+    def __init__(self, library):
+        normal, parts = library.normalizer, library.pre_tokenizer
+        if normal is None or parts is None:
+            return
+        for c in filter(str.isalpha, map(chr, range(0x180))):
+            folded = normal.normalize_str(c)
+            if len(folded) == 1 and folded.isalpha() and normal.normalize_str(folded) == folded:
+                form = parts.pre_tokenize_str(folded)
+                if len(form) == 1:
+                    self[ord(c)] = form[0][0]
+
+    def __missing__(self, code: int) -> str:
+        return _OTHER
 
 
 class WordTokenizer:

@@ -15,6 +15,7 @@ same bytes under the same final name.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import uuid
 import zlib
@@ -40,36 +41,37 @@ CHECKSUMS = 0x80
 
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 MANIFEST = "first_id long, path string, n_docs long, n_tokens long, n_bytes long"
-_PUNCTUATION = b".,!;:?"
+_PUNCTUATION = string.punctuation.replace("'", "").encode()
 _OTHER = "\0"
 #: Texts whose ids show whether a tokenizer encodes words apart: white space of all kinds, marks, capitals, accents, digits, joins.
 PROBES = (
     "", " ", "  two  spaces\tand\nlines \r\n", "Hello, World! it's DON'T stop.", "ÉTÉ naïve straße İstanbul e\u0301té ﬁ ſ ŉ", "a.b.c! ... 9'99 3.14 1,000 _a_ x-y", "中文。 日本語 한국어 русский ελληνικά",
-    "\u3000wide\u00a0space\x1c\x85", "emoji 😀👍🏽 (brackets) [x] {y} <z>", "the the The THE thE", "aaaaaaaaaaaaaaaaaaaaaaaa " * 3,
+    "\u3000wide\u00a0space\x1c\x85", "end... (so)] {x}*** a$$$ b,%%% c.\" d-- e+=~ f_ g\\/@^`|> h<&", "emoji 😀👍🏽 (brackets) [x] {y} <z>", "the the The THE thE", "aaaaaaaaaaaaaaaaaaaaaaaa " * 3,
 )
 
 
 class WordIds(dict):
     """Bytes of the ids of each word, kept for up to fixed numbers of words and of their stems.
 
-    A stem is a run of plain letters, folded as the tokenizer folds them, and may have a final mark; other words go whole to the library."""
+    A stem is a run of plain letters, folded as the tokenizer folds them, and may have marks behind it; other words go whole to the library."""
 
     def __init__(self, library, most_words: int, most_stems: int):
         self.library, self.most_words, self.most_stems = library, most_words, most_stems
         self.tokenize, self.letters = library.model.tokenize, PlainLetters(library)
         self.stems: dict[str, bytes] = {}
-        self.marks = {bytes([m]): encoded(library, chr(m)) for m in _PUNCTUATION}
+        self.marks: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most_words:
             self.clear()
         stem, mark = word.decode().translate(self.letters), b""
         if _OTHER in stem:
-            mark = self.marks.get(word[-1:])
-            if mark is None or stem.find(_OTHER) != len(stem) - 1 or len(stem) == 1:
+            letters = stem.rstrip(_OTHER)
+            end = word[len(letters) - len(stem) :]
+            if not letters or letters == stem or _OTHER in letters or end.strip(_PUNCTUATION):
                 ids = self[word] = encoded(self.library, word.decode())
                 return ids
-            stem = stem[:-1]
+            stem, mark = letters, self._marks(end)
         ids = self.stems.get(stem)
         if ids is None:
             if len(self.stems) >= self.most_stems:
@@ -79,6 +81,14 @@ class WordIds(dict):
         ids = self[word] = ids + mark if mark else ids
         return ids
 
+    def _marks(self, end: bytes) -> bytes:
+        ids = self.marks.get(end)
+        if ids is None:
+            if len(self.marks) >= self.most_stems:
+                self.marks.clear()
+            ids = self.marks[end] = encoded(self.library, end.decode())
+        return ids
+
 
 def encoded(library, text: str) -> bytes:
     return np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

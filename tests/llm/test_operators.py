@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import string
 import zlib
 
 import numpy as np
@@ -235,6 +236,8 @@ def test_words_have_the_library_s_ids():
     alphabet = [chr(c) for c in range(33, 0x250)]
     rng = np.random.default_rng(4)
     texts = ["".join(rng.choice([*alphabet, " "], 30)) for _ in range(300)]
+    letters_and_marks = [*"abÉéç9中", *"abc" * 6, *string.punctuation, *" " * 6]
+    texts += ["".join(rng.choice(letters_and_marks, rng.integers(0, 40))) for _ in range(3000)]
     texts += ["", " ", "Don't stop, it's İstanbul! ÀÉÎ straße. ŉ ĳ ſ e\u0301té", "<|endoftext|> word", "a" * 5000]
     assert words.encode(texts) == [token_store.encoded(words.library, t) for t in texts]
 

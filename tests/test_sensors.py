@@ -182,6 +182,43 @@ def test_against_sql(spark, name):
             assert (got[c].astype(str) == want[c].astype(str)).all(), c
 
 
+@pytest.fixture(scope="module")
+def tied(tmp_path_factory):
+    """A folder of events whose values have two digits and a small range, so that many lie on a fence to the last bit."""
+    folder = tmp_path_factory.mktemp("tied")
+    rng = np.random.default_rng(11)
+    values = ", ".join(f"({i}, {v})" for i, v in enumerate(np.round(rng.integers(0, 31, 20000) / 100, 2).tolist()))
+    duckdb.sql(f"COPY (SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01' + to_minutes(i) AS ts, 1::BIGINT AS user_id, CASE i % 2 WHEN 0 THEN 'click' ELSE 'view' END AS event_type, v::DOUBLE AS value, NULL::VARCHAR AS props FROM (VALUES {values}) t(i, v)) TO '{folder}/events.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def differing(spark, name, folder):
+    """Rows of a query that its SQL does not give, and those that only the SQL gives."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    want = con.execute(catalogue.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    want, got = set(want.fetchall()), set(map(tuple, catalogue.QUERIES[name](spark, folder).select(*columns).collect()))
+    return got ^ want
+
+
+def test_quartiles_to_the_last_bit(spark):
+    rng = np.random.default_rng(5)
+    arrays = [np.round(rng.exponential(50, k % 9 + 1), 2).tolist() for k in range(3000)]
+    want = duckdb.sql(f"SELECT list_aggregate(x, 'quantile_cont', 0.25), list_aggregate(x, 'median'), list_aggregate(x, 'quantile_cont', 0.75) FROM (SELECT unnest({arrays}::DOUBLE[][]) AS x)").fetchall()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(arrays)], "i int, x array<double>")
+    got = df.orderBy("i").select(C.quartiles(F.col("x"), lambda a, b: F.array(a, b)).alias("q"), quantile(F.col("x"), 0.5).alias("m")).collect()
+    assert [(r.q[0], r.m, r.q[1]) for r in got] == want
+    assert [tuple(S.linear_quantile(sorted(x), q) for q in (0.25, 0.5, 0.75)) for x in arrays] == want
+    assert [S.linear_quantile([math.inf] * 2, 0.25), S.linear_quantile([1.0, math.inf], 0.0)] == [math.inf, 1.0]
+    edge = spark.range(1).select(quantile(F.array(F.lit(math.inf), F.lit(math.inf)), 0.25).alias("a"), quantile(F.array(F.lit(1.0), F.lit(math.inf)), 0.0).alias("b")).first()
+    assert (edge.a, edge.b) == (math.inf, 1.0)
+
+
+def test_peaks_on_a_fence(spark, tied):
+    assert not differing(spark, "archive_peak_flags", tied)
+
+
 def events_by_topic():
     """Present readings of the small events table, from its file: topic -> [(seq, value)] in time order."""
     rows = duckdb.sql(f"SELECT event_type, event_id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END FROM '{SF}/events.parquet' ORDER BY ts, event_id").fetchall()

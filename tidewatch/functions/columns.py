@@ -29,13 +29,23 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def between(a: Column, b: Column, d: Column) -> Column:
+    """a (1 - d) + b d for d of 0, 1/4, 1/2 or 3/4 to the last bit as DuckDB has it: b d is rounded, and then the sum once.
+
+    Only 3/4 a can lose bits before the sum; what both lose is added at the end."""
+    p, z = a * (1 - d), b * d
+    s = p + z
+    t = s - p
+    lost = (p - (s - t)) + (z - t) + (a * 0.25 - (p - a * 0.5))
+    return F.when(d == 0, a).when(d == 0.25, s + F.nanvl(lost, F.lit(0.0))).otherwise(s)
+
+
 def sorted_at(s: Column, n: Column, q: float) -> Column:
     """Quantile q of a sorted array of n values, by linear interpolation."""
     p = (n - 1) * F.lit(q)
     low = F.floor(p).cast("int")
     high = F.ceil(p).cast("int")
-    a, b = F.element_at(s, low + 1), F.element_at(s, high + 1)
-    return F.when(n > 0, a + (b - a) * (p - low))
+    return F.when(n > 0, between(F.element_at(s, low + 1), F.element_at(s, high + 1), p - low))
 
 
 def quantile(values: Column, q: float) -> Column:

@@ -242,9 +242,11 @@ def novelty_of_window(window: list[float | None]) -> list[float | None]:
 
 
 def linear_quantile(ordered: list[float], q: float) -> float:
+    """Quantile by linear interpolation, rounded as DuckDB does."""
     p = q * (len(ordered) - 1)
+    d = p - math.floor(p)
     a, b = ordered[math.floor(p)], ordered[math.ceil(p)]
-    return a + (b - a) * (p - math.floor(p))
+    return math.fma(a, 1 - d, b * d) if d else a
 
 
 def beyond(x: float | None, q1: float | None, q3: float | None, fence: float) -> bool:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bloom_cascade, decontaminate, embedding_dedup, minhash_forest, mixing, secret_scan, sharding, token_store, toxicity, warc
-from tidewatch.llm.components import components
+from tidewatch.llm.components import components, stars
 from tidewatch.llm.hnsw import Graph, links_of
 from tidewatch.plans.scratch import new_path
 
@@ -442,6 +442,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_dense_groups_enter_rounds_as_stars(spark):
+    """Edges of tasks that hold them all are fewer than nodes, of k tasks fewer than k times the nodes; they join the same."""
+    edges = [(u, v) for u in range(200) for v in range(u)] + [(1000 + u, 1000 + v) for u in range(60) for v in range(u) if (u - v) % 3 == 0]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    assert sorted(map(tuple, stars(frame).collect())) == [(u, 0) for u in range(1, 200)] + [(1000 + u, 1000 + u % 3) for u in range(3, 60)]
+    few = stars(frame, 5000)
+    assert len(edges) > 20_000 and few.count() <= 5 * 256
+    assert {r.node: r.component for r in components(few.toDF("a", "b")).collect()} == {r: 0 for r in range(200)} | {1000 + u: 1000 + u % 3 for u in range(60)}
+    assert stars(frame.limit(0)).count() == 0
+
+
 # 8
 
 

@@ -219,6 +219,21 @@ def test_peaks_on_a_fence(spark, tied):
     assert not differing(spark, "archive_peak_flags", tied)
 
 
+#: Of events at 60 times sf0.1: the last difference is a fence to the last bit.
+ON_A_FENCE = [30.15, 87.31, 17.65, 0.71, 3.52, 68.47, 45.52, 150.4]
+
+
+def written_events(folder, topics):
+    rows = ", ".join(f"({1 + i + 20 * k}, '{t}', {v}::DOUBLE)" for k, (t, values) in enumerate(topics.items()) for i, v in enumerate(values))
+    duckdb.sql(f"COPY (SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01' + to_minutes(i) AS ts, t AS event_type, v AS value FROM (VALUES {rows}) x(i, t, v)) TO '{folder}/events.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["local_iqr_flags", "recent_readings_flagged", "label_recall"])
+def test_differences_on_a_fence(spark, tmp_path, name):
+    assert not differing(spark, name, written_events(tmp_path, {"purchase": ON_A_FENCE, "view": [5, 6, 5, 6, 5, 6, 5, 190]}))
+
+
 def events_by_topic():
     """Present readings of the small events table, from its file: topic -> [(seq, value)] in time order."""
     rows = duckdb.sql(f"SELECT event_type, event_id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END FROM '{SF}/events.parquet' ORDER BY ts, event_id").fetchall()

@@ -234,6 +234,15 @@ def test_differences_on_a_fence(spark, tmp_path, name):
     assert not differing(spark, name, written_events(tmp_path, {"purchase": ON_A_FENCE, "view": [5, 6, 5, 6, 5, 6, 5, 190]}))
 
 
+@pytest.mark.parametrize("values", [[50] * 12, [1] * 12, [5, 6, 5, 6, 5, 6, 5, 90]], ids=["neither", "labels", "flags"])
+def test_recall_without_labels_or_flags(spark, tmp_path, values):
+    folder = written_events(tmp_path, {"view": values})
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    want = con.execute(catalogue.ORACLE_SQL["label_recall"]).fetchall()
+    assert np.array_equal(catalogue.QUERIES["label_recall"](spark, folder).collect(), want, equal_nan=True)
+
+
 def events_by_topic():
     """Present readings of the small events table, from its file: topic -> [(seq, value)] in time order."""
     rows = duckdb.sql(f"SELECT event_type, event_id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END FROM '{SF}/events.parquet' ORDER BY ts, event_id").fetchall()

@@ -405,9 +405,10 @@ def label_recall(r: DataFrame) -> DataFrame:
     labels = label_union(r).withColumn("labelled", F.lit(1))
     flags = A.local_flags(r).where("local").select("topic", "ts", F.lit(1).alias("flagged"))
     both = labels.join(flags, ["topic", "ts"], "full")
-    found = F.sum(F.col("labelled") * F.col("flagged"))
+    found = F.coalesce(F.sum(F.col("labelled") * F.col("flagged")), F.lit(0))
     n = F.count("labelled")
-    return both.agg(n.alias("labels"), F.coalesce(found, F.lit(0)).alias("found"), r6(F.coalesce(found, F.lit(0)) / n).alias("recall"), F.count("flagged").alias("flagged"), r6(F.coalesce(found, F.lit(0)) / F.count("flagged")).alias("exactness"))
+    share = lambda of: r6(F.coalesce(F.try_divide(found, of), F.lit(float("nan"))))
+    return both.agg(n.alias("labels"), found.alias("found"), share(n).alias("recall"), F.count("flagged").alias("flagged"), share(F.count("flagged")).alias("exactness"))
 
 
 @query(f""", p AS (SELECT topic, value, lag(value) OVER ({T}) AS pred FROM readings), q AS (SELECT topic, value AS a, pred - value AS e FROM p WHERE value IS NOT NULL AND pred IS NOT NULL)
